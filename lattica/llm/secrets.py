@@ -88,13 +88,17 @@ def chi_tail(x: Column, df: Column) -> Column:
 
 
 def encoding(key: Column) -> Column:
-    """The first alphabet that has all characters of the key; null if none."""
+    """The first alphabet that has all characters of the key; null if none.
+
+    Keys without a digit or without a letter are left to the reader: names in
+    mixed case look as random as short keys do.
+    """
     out = F.lit(None).cast("string")
     for name, (alphabet, least) in reversed(ALPHABETS.items()):
         # what is left of the key without the alphabet's characters
         left = F.translate(key, alphabet, "")
         out = F.when((left == "") & (F.length(key) >= least), F.lit(name)).otherwise(out)
-    return out
+    return F.when(key.rlike("[0-9]") & key.rlike("[A-Za-z]"), out)
 
 
 def with_fields(found: Column, make) -> Column:
