@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ensure_checkpoint_dir, text_of
+from .common import cut, ensure_checkpoint_dir, text_of
 
 #: Memtables into which documents are dealt; each gives one sorted run.
 MEMTABLES = 16
@@ -82,26 +82,21 @@ def compact(runs: DataFrame) -> DataFrame:
     )
 
 
-def _slot(digest: str) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
-
-
-def passing(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose digest may be among ``keys``: all that are, and few others.
+def passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be in ``wanted``: all that are, and few others.
 
     The filter is a bitmap of FILTER_BITS bits in FILTER_BITS / 32768 rows, a
     size that does not depend on the data, so it is broadcast.
     """
-    filter_ = keys.groupBy(F.bitmap_bucket_number(_slot("digest")).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(_slot("digest"))).alias("bits")
-    )
-    at = F.bitmap_bit_position(_slot("digest"))
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    found = F.expr("bits is not null") & (F.getbit(byte.cast("long"), F.pmod(at, F.lit(8)).cast("int")) == 1)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    bucket, at = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    filter_ = wanted.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("long")
     return (
-        rows.withColumn("bucket", F.bitmap_bucket_number(_slot("digest")))
+        rows.withColumn("bucket", bucket)
+        .withColumn("at", at)
         .join(F.broadcast(filter_), "bucket")
-        .where(found)
+        .where(F.getbit(byte, F.pmod("at", F.lit(8)).cast("int")) == 1)
         .select(*rows.columns)
     )
 
@@ -118,20 +113,19 @@ def lsm_dedup(
     rows give no rows.
     """
     spark = docs.sparkSession
-    rows = entries(docs, digest)
+    rows = cut(entries(docs, digest))  # the only pass over all texts that normalises them
     path = f"{ensure_checkpoint_dir(spark)}/lsm-{uuid.uuid4().hex}"
     flush(rows, path, memtables)
     index = compact(spark.read.schema("digest string, best struct<neg: bigint, none: boolean, doc_id: bigint>, n bigint, run int").parquet(path))
 
     # Hits: digests that several rows hold. Their texts, and no others but what
-    # a filter of fixed size lets through, are moved.
+    # a filter of fixed size lets through, are normalised again and moved.
     hits = index.where("group_size > 1").select("digest", "keep_id", "keep_length")
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        normalised(text_of()).alias("body"),
-        F.char_length(text_of()).cast("long").alias("length"),
-    ).withColumn("digest", digest(F.col("body")))
-    held = passing(texts, hits).join(hits, "digest")
+    texts = passing(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")),
+        rows.join(hits.select("digest"), "digest", "left_semi"),
+    ).select("doc_id", normalised(F.col("text")).alias("body"), F.char_length("text").cast("long").alias("length"))
+    held = cut(texts.withColumn("digest", digest(F.col("body"))).join(hits, "digest"))
     keeper = (
         held.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length")))
         .groupBy("digest")
