@@ -24,6 +24,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_leaks
+
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -42,6 +48,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fold, identify, learn
 
@@ -61,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op4_simhash, op5_exact_dedup, op6_secrets, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_decontamination, op4_simhash, op5_exact_dedup, op6_secrets, op8_substring_dedup, op9_language_id, op10_quality)}
 
 
 _WORD = r"[^ \t\n\x0B\f\r]+"
@@ -124,6 +136,27 @@ SELECT doc_id,
 FROM rows_
 """
 
+OP8 = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS body
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM words WHERE len(w) >= 20)),
+again AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM again),
+kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS body, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words) x
+  LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.i = g.i
+  WHERE g.i IS NULL GROUP BY x.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.body, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op5_exact_dedup": OP5}
+    return {"op2_mixing": OP2, "op5_exact_dedup": OP5, "op8_substring_dedup": OP8}
