@@ -48,6 +48,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_likelihood import pseudo_likelihood
+
+    return pseudo_likelihood(documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -73,7 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_decontamination, op4_simhash, op5_exact_dedup, op6_secrets, op8_substring_dedup, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_decontamination, op4_simhash, op5_exact_dedup, op6_secrets, op7_pseudo_likelihood, op8_substring_dedup, op9_language_id, op10_quality)}
 
 
 _WORD = r"[^ \t\n\x0B\f\r]+"

@@ -11,7 +11,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -145,6 +147,19 @@ def identify(docs: DataFrame, dicts: list[tuple[str, bytes]], min_margin: float
     return map_rows(rows, make, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, dicts: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``identify`` does not reject."""
+
+    @F.pandas_udf("boolean")
+    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        models = compressors(dicts)
+        for texts in batches:
+            found = [classify(t, models) for t in texts]
+            yield pd.Series([x[0] != UNKNOWN and x[2] >= min_margin for x in found], dtype=bool)
+
+    return docs.where(accepted(F.col("text").cast("string")))
+
+
 def fold(modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))

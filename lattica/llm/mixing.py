@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, free_name, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -86,7 +86,7 @@ def position(share_done: Column, slope: Column) -> Column:
     return F.when(share_done <= 0, F.lit(0.0)).otherwise(F.lit(2.0) * share_done / (rest + root))
 
 
-def mix(
+def places(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
@@ -94,13 +94,14 @@ def mix(
     slopes: tuple[float, ...] = SLOPES,
     seed: str = "mix",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and position of each row.
+    """doc_id, source, size, source_size, target, first, again, taken and the positions of each row.
 
     ``taken`` counts the words that the mix takes of the document, with
     repeats: a source's documents are read in the order of their digests, again
     from the start after the last, until its target is reached; the document at
-    the end gives the rest. ``position`` is the training time of its first
-    word, null where nothing is taken. Rows come range-sorted by position.
+    the end gives the rest. ``first`` and ``again`` are the words taken in the
+    first and second reading, and ``position`` and ``position_again`` the
+    training times at which these start, null where nothing is taken.
 
     Null text has size 0. A null source is a source of its own, the last. Rows
     that repeat an identifier follow one another in no defined order. Other
@@ -142,8 +143,41 @@ def mix(
             "size",
             "source_size",
             "target",
+            first.cast("long").alias("first"),
+            again.cast("long").alias("again"),
             (first + again).cast("long").alias("taken"),
-            F.when(first + again > 0, position(start / F.col("target"), slope)).alias("position"),
+            F.when(first > 0, position(start / F.col("target"), slope)).alias("position"),
+            F.when(again > 0, position((start + F.col("source_size")) / F.col("target"), slope)).alias("position_again"),
         )
-        .orderBy("position", "doc_id")
+    )
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``places`` range-sorted by position, those that are not taken first."""
+    return places(docs, **options).orderBy("position", "doc_id")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as they are trained on, with all their columns, range-sorted by position.
+
+    A document that is read twice comes twice. Added are ``copy`` (0 or 1),
+    ``words`` (how many of its words are read then) and ``position``, with
+    underscores before the names where ``docs`` has such columns. Rows without
+    an identifier are left out. Identifiers must be unique.
+    """
+    key, copies = free_name(docs, "mix_doc_id"), free_name(docs, "mix_copies")
+    names = [free_name(docs, n) for n in ("copy", "words", "position")]
+
+    def one(copy: int, words: str, at: str) -> Column:
+        return F.struct(F.lit(copy).alias(names[0]), F.col(words).alias(names[1]), F.col(at).alias(names[2]))
+
+    both = F.array(one(0, "first", "position"), one(1, "again", "position_again"))
+    taken = places(docs, **options).select(
+        F.col("doc_id").alias(key), F.filter(both, lambda c: c[names[1]] > 0).alias(copies)
+    )
+    return (
+        docs.join(taken, F.col("doc_id") == F.col(key))
+        .select(*docs.columns, F.explode(copies).alias(copies))
+        .select(*docs.columns, *[F.col(f"`{copies}`.`{n}`").alias(n) for n in names])
+        .orderBy(names[2], "doc_id")
     )
