@@ -33,8 +33,8 @@ from .common import map_rows, words_of, written
 
 WINDOW = 20
 PREFIX = 6
-#: Anchors of a group up to which its tree is built in memory, and words of the groups taken together.
-GROUP_LIMIT = 2000
+#: Anchors of a group up to which its tree is built in memory (about 5 MB), and words of the groups taken together.
+GROUP_LIMIT = 16_384
 TREE_WORDS = 500_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -42,7 +42,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def codes(words: list[str]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
 def rolled(code: np.ndarray, width: int, by: np.uint64) -> np.ndarray:
@@ -94,19 +94,26 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def contexts(docs: DataFrame, window: int) -> DataFrame:
-    """For each place in ``places`` the words of all windows that it anchors: key, doc_id, start, suffixes, words."""
+    """For each place in ``places`` the words of all windows that it anchors: key, doc_id, start, suffixes, words.
+
+    Of rows of one slice with the same words only the first keeps them: the
+    others are repeats already, and come with null instead.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [], [])
+            seen: set[str] = set()
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "places")]
-            for doc, text, places in zip(*columns, strict=True):
+            for doc, text, places in sorted(zip(*columns, strict=True)):
                 words = words_of(text)
                 key, place, first, last = anchors(codes(words), window)
                 at = np.searchsorted(place, np.sort(np.array(places)))
                 for k in at.tolist():
                     lo, hi = int(first[k]), int(last[k])
-                    row = (int(key[k].view(np.int64)), doc, lo, hi - lo + 1, " ".join(words[lo : hi + window]))
+                    context = " ".join(words[lo : hi + window])
+                    row = (int(key[k].view(np.int64)), doc, lo, hi - lo + 1, None if context in seen else context)
+                    seen.add(context)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
@@ -164,30 +171,42 @@ def repeated_suffixes(rows: list[tuple[int, int, int, list[str]]], window: int)
         yield rows[r][0], rows[r][1] + int(offset[run[0]]), rows[r][1] + int(offset[run[-1]])
 
 
+def spans_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], ["doc_id", "lo", "hi"])
+
+
 def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
     """doc_id, lo and hi of the repeated runs, from trees over whole groups of ``contexts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(group: list) -> pa.RecordBatch:
-            found = list(repeated_suffixes(group, window)) if group else []
-            return pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.int32()) for k in (1, 2))],
-                ["doc_id", "lo", "hi"],
-            )
+            return spans_batch(list(repeated_suffixes(group, window)) if group else [])
 
         group: list = []
+        seen: set[tuple[int, str]] = set()
+        copies: list[tuple[int, int, int]] = []
         size, last = 0, None
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 for key, doc, start, suffixes, words in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if key != last and size >= TREE_WORDS:
-                        yield flush(group)
-                        group, size = [], 0
+                    if key != last:
+                        seen.clear()
+                        if size >= TREE_WORDS:
+                            yield flush(group)
+                            group, size = [], 0
                     last = key
+                    # the same words again: every suffix hangs from a node that has an earlier leaf
+                    if words is None or (suffixes, words) in seen:
+                        copies.append((doc, start, start + suffixes - 1))
+                        continue
+                    seen.add((suffixes, words))
                     own = words.split(" ")
                     size += len(own)
                     group.append((doc, start, suffixes, own))
+                yield spans_batch(copies)
+                copies = []
         yield flush(group)
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id", "start")
@@ -195,46 +214,66 @@ def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """For each place in ``places`` the windows that it anchors: a 128-bit hash, doc_id and start."""
+    """For each place in ``places`` the windows that it anchors: a 128-bit hash, doc_id, lo and hi.
+
+    Of equal windows of one slice only the first comes with its hash (lo = hi):
+    the others are repeats already, and come as runs with null instead.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             parts: list[list[np.ndarray]] = [[], [], [], []]
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "places")]
-            for doc, text, places in zip(*columns, strict=True):
+            for doc, text, places in sorted(zip(*columns, strict=True)):
                 code = codes(words_of(text))
                 _, place, first, last = anchors(code, window)
                 a, b = rolled(code, window, _M1), rolled(code ^ _M1, window, _M2)
                 at = np.searchsorted(place, np.sort(np.array(places)))
                 starts = np.concatenate([np.arange(first[k], last[k] + 1) for k in at])
-                values = (a[starts].view(np.int64), b[starts].view(np.int64), np.full(len(starts), doc), starts.astype(np.int32))
-                for column, value in zip(parts, values, strict=True):
+                for column, value in zip(parts, (a[starts], b[starts], np.full(len(starts), doc), starts), strict=True):
                     column.append(value)
-            arrays = [pa.array(np.concatenate(p)) for p in parts]
-            return pa.RecordBatch.from_arrays(arrays, ["key", "key2", "doc_id", "start"])
+            a, b, ids, starts = (np.concatenate(p) for p in parts)
+            pairs = np.rec.fromarrays([a, b])
+            leaf = np.zeros(len(a), bool)
+            leaf[np.unique(pairs, return_index=True)[1]] = True
+            again = np.flatnonzero(~leaf)
+            begins = np.ones(len(again), bool)
+            begins[1:] = (np.diff(again) != 1) | (np.diff(ids[again]) != 0) | (np.diff(starts[again]) != 1)
+            runs = np.flatnonzero(begins)
+            ends = np.concatenate((runs[1:] - 1, [len(again) - 1])).astype(int) if len(again) else runs
+            lo, hi = starts[again[runs]], starts[again[ends]]
+            none = np.concatenate((np.zeros(int(leaf.sum()), bool), np.ones(len(runs), bool)))
+            hashes = [pa.array(np.concatenate((x[leaf], np.zeros(len(runs), np.uint64))).view(np.int64), mask=none) for x in (a, b)]
+            return pa.RecordBatch.from_arrays(
+                [
+                    *hashes,
+                    pa.array(np.concatenate((ids[leaf], ids[again[runs]])).astype(np.int64)),
+                    pa.array(np.concatenate((starts[leaf], lo)).astype(np.int32)),
+                    pa.array(np.concatenate((starts[leaf], hi)).astype(np.int32)),
+                ],
+                ["key", "key2", "doc_id", "lo", "hi"],
+            )
 
         return step
 
-    return map_rows(docs, make, "key long, key2 long, doc_id long, start int")
+    return map_rows(docs, make, "key long, key2 long, doc_id long, lo int, hi int")
 
 
 def leaf_repeats(rows: DataFrame) -> DataFrame:
-    """doc_id, lo and hi of each window that is not the first with its words."""
+    """doc_id, lo and hi of each window that is not the first with its words, from ``window_rows``."""
+    leaves = rows.where("key is not null")
     first = (
-        rows.groupBy("key", "key2")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+        leaves.groupBy("key", "key2")
+        .agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
-    return (
-        rows.join(first, ["key", "key2"])
-        .where(F.struct("doc_id", "start") != F.col("first"))
-        .select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    )
+    later = leaves.join(first, ["key", "key2"]).where(F.struct("doc_id", "lo") != F.col("first"))
+    return rows.where("key is null").select("doc_id", "lo", "hi").unionAll(later.select("doc_id", "lo", "hi"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT) -> DataFrame:
     """doc_id, lo and hi (inclusive) of the window starts that also start earlier. ``docs`` has doc_id and text."""
-    rows = written(anchor_rows(docs, window), "anchors")
+    rows = anchor_rows(docs, window)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = rows.join(sizes, "key")
     crowded = F.col("n") > limit
@@ -247,7 +286,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT) ->
     )
     few = docs.join(by_doc.where("size(few) > 0").select("doc_id", F.col("few").alias("places")), "doc_id")
     many = docs.join(by_doc.where("size(many) > 0").select("doc_id", F.col("many").alias("places")), "doc_id")
-    return tree_repeats(contexts(few, window), window).unionAll(leaf_repeats(window_rows(many, window)))
+    return tree_repeats(contexts(few, window), window).unionAll(leaf_repeats(written(window_rows(many, window), "windows")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT) -> DataFrame:
