@@ -14,7 +14,7 @@ Shards are chosen so that linked fingerprints meet in at least one of them.
   too, so those are cut into R + 1 blocks in turn.
 * ``near_duplicates``: copies that share four fifths of their shingles may
   differ in many more bits than blocks can bear. Shards are the smallest hashes
-  of the shingle sets; the tree's radius is wide, and a link needs the shingle
+  of the shingle sets, or pairs of them; the tree's radius is wide, and a link needs the shingle
   sets themselves to be alike.
 
 Inside a shard, links are gathered by union-find and leave it as one edge for
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, map_rows, words_of
+from .common import cut, lower_ascii, map_rows, words_of, written
 from .components import connected_components
 
 BITS = 64
@@ -267,32 +267,42 @@ def _signature(text: str, width: int) -> tuple[int, np.ndarray]:
     return signed(fingerprint(hashes)), np.unique(hashes)
 
 
-def routes(docs: DataFrame, width: int, least: int = LEAST, kept: int = ROUTES) -> DataFrame:
+def routes(docs: DataFrame, width: int, limit: int, least: int = LEAST, kept: int = ROUTES) -> DataFrame:
     """(doc_id, keys): the shards of each text that shares one.
 
-    Keys are the ``least`` smallest hashes of the set of shingles. Of those
-    that other texts have too, the ``kept`` rarest are used, so that what very
-    many texts share (a licence, a quoted passage) deals out only texts that
-    have nothing rarer.
+    Keys are the ``least`` smallest hashes of the set of shingles, of those
+    that other texts have too the ``kept`` rarest. Keys that over ``limit``
+    texts have (a licence, a quoted passage) count in pairs only: sets with
+    four fifths in common share two of their least hashes in all but one case
+    of ten thousand, while a common line seldom gives a text two of them. Texts
+    of one shingle keep their single key.
     """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = [
-                np.unique(shingle_hashes(t or "", width))[:least].view(np.int64).tolist() or [0]
-                for t in batch.column("text").to_pylist()
-            ]
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"]
-            )
+            keys = [np.unique(shingle_hashes(t or "", width))[:least].view(np.int64) for t in batch.column("text").to_pylist()]
+            keys = [k if len(k) else np.zeros(1, np.int64) for k in keys]
+            sizes = [len(k) for k in keys]
+            ids = np.repeat(np.array(batch.column("doc_id").to_pylist(), np.int64), sizes)
+            lone = np.repeat(np.array(sizes) == 1, sizes)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys)), pa.array(lone)], ["doc_id", "key", "lone"])
 
         return step
 
-    rows = cut(map_rows(docs, make, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key")))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "key"))
-    shared = rows.join(sizes, "key").withColumn("rank", rank).where(F.col("rank") <= kept)
-    return shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    def rarest(rows: DataFrame, most: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "key"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "key")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+
+    rows = written(map_rows(docs.select("doc_id", "text"), make, "doc_id long, key long, lone boolean"), "routes")
+    shared = counted(rows)
+    usual = F.col("lone") | (F.col("n") <= limit)
+    hot = shared.where(~usual).groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys")).where("size(keys) > 1")
+    two = F.flatten(F.transform("keys", lambda x: F.transform(F.filter("keys", lambda y: y > x), lambda y: F.xxhash64(x, y))))
+    pairs = counted(hot.select("doc_id", F.explode(two).alias("key")))
+    return rarest(shared.where(usual), kept).unionAll(rarest(pairs, 2 * kept)).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
 def near_links(docs: DataFrame, width: int, similarity: float, radius: int, limit: int) -> DataFrame:
@@ -347,7 +357,7 @@ def near_links(docs: DataFrame, width: int, similarity: float, radius: int, limi
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    routed = docs.join(routes(docs, width), "doc_id")
+    routed = docs.join(routes(docs, width, limit), "doc_id")
     members = map_rows(routed.select("doc_id", "keys", "text"), make, "key long, doc_id long, fp long, members binary")
     dealt = members.repartition("key").sortWithinPartitions("key", "doc_id")
     return dealt.mapInArrow(run, "a long, b long")
