@@ -25,7 +25,7 @@ from .common import map_rows
 KINDS = ("email", "ip", "card", "phone")
 REACH = 4
 #: Rows of the labelled table, and passes over it.
-TABLE_ROWS = 400
+TABLE_ROWS = 600
 EPOCHS = 80
 #: Words of one padded block of chains that is decoded at a time.
 DECODE_WORDS = 20_000
@@ -234,6 +234,8 @@ def labelled_table(rows: int = TABLE_ROWS, seed: int = 11) -> list[Row]:
             if rng.random() < 0.5:
                 parts.append((None, rng.choice(cues[kind])))
             parts.append((kind, rng.choice(private[kind])()))
+            if rng.random() < 0.25:  # another number right after it
+                parts.append((None, rng.choice(plain)()))
         else:
             if rng.random() < 0.3:
                 parts.append((None, rng.choice(["order", "id", "no", "ref", "invoice"])))

@@ -71,6 +71,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word", "bucket").agg(F.sum("n").alias("n"))
 
 
+class Numbering(dict):
+    """Identifiers of words; those of rare words are worked out once and kept, at most COUNTED of them."""
+
+    def __init__(self, index: dict[str, int]):
+        super().__init__(index)
+        self.index = index
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self.index) + bucket(word)
+        return found
+
+    def trim(self) -> None:
+        if len(self) > len(self.index) + COUNTED:
+            self.clear()
+            self.update(self.index)
+
+
 @dataclass
 class Vocabulary:
     """Identifiers of the frequent words, log-shares of all tokens, and what a word of a bucket costs."""
@@ -83,9 +100,13 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.log_share)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        get, base = self.index.get, len(self.index)
-        return np.fromiter((i if (i := get(w)) is not None else base + bucket(w) for w in words), np.int32, len(words))
+    def numbering(self) -> Numbering:
+        return Numbering(self.index)
+
+    def ids(self, words: list[str], numbers: Numbering | None = None) -> np.ndarray:
+        numbers = self.numbering() if numbers is None else numbers
+        numbers.trim()
+        return np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
 
 
 def vocabulary(docs: DataFrame, words: int = WORDS) -> Vocabulary:
@@ -201,9 +222,10 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def padded(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def padded(texts: list[str | None], vocab: Vocabulary, numbers: Numbering | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of the texts with RADIUS fillers before each and after all, places of the tokens, and the text of each."""
-    ids = [vocab.ids(tokens_of(t)) for t in texts]
+    numbers = vocab.numbering() if numbers is None else numbers
+    ids = [vocab.ids(tokens_of(t), numbers) for t in texts]
     fill = np.full(RADIUS, vocab.size, np.int32)
     line = np.concatenate([x for own in ids for x in (fill, own)] + [fill])
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
@@ -215,8 +237,10 @@ def training_windows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """data: windows of 2 RADIUS + 1 tokens around every STRIDE-th token of each document, as int16, many to a row."""
 
     def make():
+        numbers = vocab.numbering()
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            line, places, owner = padded(batch.column("text").to_pylist(), vocab)
+            line, places, owner = padded(batch.column("text").to_pylist(), vocab, numbers)
             starts = np.searchsorted(owner, owner)
             phase = np.array([xxhash.xxh32_intdigest(str(d)) % STRIDE for d in batch.column("doc_id").to_pylist()], np.int64)
             chosen = places[(np.arange(len(owner)) - starts + phase[owner]) % STRIDE == 0]
@@ -278,9 +302,9 @@ def _add_models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _model_batch(total, n)
 
 
-def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
+def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network, numbers: Numbering | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each text, and the sum of their conditional log-probabilities."""
-    line, places, owner = padded(texts, vocab)
+    line, places, owner = padded(texts, vocab, numbers)
     sums = np.zeros(len(texts))
     shift = np.array(OFFSETS)
     for lo in range(0, len(places), 16384):
@@ -300,8 +324,10 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
     """
 
     def make():
+        numbers = vocab.numbering()
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, sums = score_texts(batch.column("text").to_pylist(), vocab, net)
+            n, sums = score_texts(batch.column("text").to_pylist(), vocab, net, numbers)
             means = [float(s / k) if k else None for s, k in zip(sums, n, strict=True)]
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())]
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
