@@ -746,3 +746,71 @@ def settings_pipeline(spark, d):
 
     steps = {"version": 1, "steps": [{"op": "crop", "box": [[0, 0, 0], [4, 5, 4]]}, {"op": "crop_where", "array": "m", "compare": ">=", "value": 3}]}
     return run_pipeline(lattice(spark, DIMS), steps).cells.select("cell_id")
+
+
+# Kernels
+
+
+@query()
+def estimate_normals(spark, d):
+    from ..operators.kernels import estimate_normals as run
+
+    return run(cloud(spark, d), 8).select("point_id", "nx", "ny", "nz", "variation")
+
+
+@query("SELECT 'sphere' AS kind, 0.0::DOUBLE AS cx, 1.0::DOUBLE AS radius")
+def fit_primitives(spark, d):
+    from ..operators.kernels import fit_primitives as run
+
+    p = cloud(spark, d)
+    size = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    unit = p.withColumns({c: F.col(c) / size for c in "xyz"}).withColumn("patch", F.lit(0))
+    out = run(unit).select("kind", F.abs(F.round(F.col("params")[0], 6)).alias("cx"), F.round(F.col("params")[3], 6).alias("radius"))
+    return out
+
+
+@query("SELECT count(*) AS n, 0.0::DOUBLE AS worst FROM embeddings")
+def register_rigid(spark, d):
+    from ..operators.kernels import register_rigid as run
+
+    p = cloud(spark, d)
+    moved = G.transform(p, G.composed(G.translation(0.002, -0.001, 0.001), G.rotation((0, 0, 1), 0.2)))
+    matrix, _ = run(moved, p, 12)
+    back = G.transform(moved, matrix.tolist()).select("point_id", *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    err = F.sqrt(sum(((F.col(c) - F.col(f"b{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    return p.join(back, "point_id").agg(F.count(F.lit(1)).alias("n"), F.abs(F.round(F.max(err), 6)).alias("worst"))
+
+
+@query()
+def convex_hull_2d(spark, d):
+    from ..operators.kernels import convex_hull_2d as run
+
+    return run(cloud(spark, d)).select("place", "point_id")
+
+
+@query(HEX + "SELECT point_id, x + y + z AS distance FROM pts")
+def geodesic_distance(spark, d):
+    from ..operators.kernels import edge_lengths
+    from ..operators.kernels import geodesic_distance as run
+
+    mesh = lattice(spark, DIMS)
+    start = mesh.points.where("point_id = 0").select("mesh_id", "point_id")
+    return rounded(run(edge_lengths(mesh.cells, mesh.points), start).drop("mesh_id"))
+
+
+@query(HEX + "SELECT point_id, round(-least(x, 6 - x, y, 5 - y, z, 4 - z), 6)::DOUBLE AS distance FROM pts WHERE x > 0 AND x < 6 AND y > 0 AND y < 5 AND z > 0 AND z < 4")
+def compute_sdf(spark, d):
+    from ..operators.kernels import signed_distance
+
+    mesh = lattice(spark, DIMS)
+    surface = Y.surface_mesh(mesh)
+    flat = surface.with_(cells=N.simplexify(surface.cells.select(*CELL_KEYS, "cell_type", "nodes")))
+    inner = mesh.points.where("x > 0 and x < 6 and y > 0 and y < 5 and z > 0 and z < 4")
+    return rounded(signed_distance(inner, flat.with_corners()).drop("mesh_id"))
+
+
+@query("SELECT 0 AS mode, 0.0::DOUBLE AS value")
+def laplacian_eigenmodes(spark, d):
+    from ..operators.kernels import laplacian_eigenmodes as run
+
+    return rounded(run(Y.adjacency(lattice(spark, (7, 6)).cells), 1).drop("mesh_id"))
