@@ -32,6 +32,8 @@ from .common import SLICE, map_rows, written
 WORDS, BUCKETS, CLASS = 4096, 256, 68
 RADIUS, WIDTH = 2, 24
 STRIDE, ROUNDS, BATCH, RATE = 16, 2, 2048, 0.16
+#: Tokens scored at a time, and rows of logits.
+BLOCK, CHUNK = 65_536, 4096
 #: Models summed by one task of the averaging tree, and distinct words counted at a time.
 FAN_IN, COUNTED = 16, 200_000
 
@@ -159,15 +161,19 @@ class Network:
 
     def log_probabilities(self, around: np.ndarray, centre: np.ndarray) -> np.ndarray:
         """Of each centre, given the tokens around it; ``size`` stands for none."""
-        h = self.hidden(around)
         group, place = np.divmod(centre, CLASS)
-        out = _log_softmax(h @ self.out + self.out_bias)[np.arange(len(h)), group]
+        h = np.empty((len(around), WIDTH), np.float32)
+        out = np.empty(len(around))
+        for lo in range(0, len(around), CHUNK):
+            part = slice(lo, lo + CHUNK)
+            h[part] = self.hidden(around[part])
+            out[part] = _picked(h[part] @ self.out + self.out_bias, group[part])
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
         for c in range(self.classes):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                out[own] += _log_softmax(h[own] @ self.inner[c] + self.inner_bias[c])[np.arange(len(own)), place[own]]
+            for lo in range(cuts[c], cuts[c + 1], CHUNK):
+                own = order[lo : min(lo + CHUNK, cuts[c + 1])]
+                out[own] += _picked(h[own] @ self.inner[c] + self.inner_bias[c], place[own])
         return out
 
     def train(self, windows: np.ndarray, rate: float, squares: np.ndarray) -> None:
@@ -186,7 +192,7 @@ class Network:
             around, centre = part[:, sides], part[:, centre_at]
             h = self.hidden(around)
             group, place = np.divmod(centre, CLASS)
-            g = np.exp(_log_softmax(h @ self.out + self.out_bias))
+            g = _softmax(h @ self.out + self.out_bias)
             g[np.arange(n), group] -= 1
             g /= n
             dh = g @ self.out.T
@@ -197,7 +203,7 @@ class Network:
             for c in range(self.classes):
                 own = order[cuts[c] : cuts[c + 1]]
                 if len(own):
-                    g = np.exp(_log_softmax(h[own] @ self.inner[c] + self.inner_bias[c]))
+                    g = _softmax(h[own] @ self.inner[c] + self.inner_bias[c])
                     g[np.arange(len(own)), place[own]] -= 1
                     g /= n
                     dh[own] += g @ self.inner[c].T
@@ -216,55 +222,71 @@ class Network:
                 self.near[k][rows] -= rate * grad / (np.sqrt(seen) + 1e-6)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
     return x
 
 
-def padded(texts: list[str | None], vocab: Vocabulary, numbers: Numbering | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of the texts with RADIUS fillers before each and after all, places of the tokens, and the text of each."""
-    numbers = vocab.numbering() if numbers is None else numbers
-    ids = [vocab.ids(tokens_of(t), numbers) for t in texts]
-    fill = np.full(RADIUS, vocab.size, np.int32)
-    line = np.concatenate([x for own in ids for x in (fill, own)] + [fill])
-    owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    places = np.arange(len(owner)) + RADIUS * (owner + 1)
-    return line, places, owner
+def _picked(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log-probability of one column for each row of logits, which are overwritten."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), chosen]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(1))
 
 
-def training_windows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """data: windows of 2 RADIUS + 1 tokens around every STRIDE-th token of each document, as int16, many to a row."""
+def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """doc_id and ids: the tokens of each document as int16, written to the shared folder, since training and scores read them again."""
 
     def make():
         numbers = vocab.numbering()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            line, places, owner = padded(batch.column("text").to_pylist(), vocab, numbers)
-            starts = np.searchsorted(owner, owner)
-            phase = np.array([xxhash.xxh32_intdigest(str(d)) % STRIDE for d in batch.column("doc_id").to_pylist()], np.int64)
-            chosen = places[(np.arange(len(owner)) - starts + phase[owner]) % STRIDE == 0]
-            windows = line[chosen[:, None] + np.arange(-RADIUS, RADIUS + 1)]
-            return pa.RecordBatch.from_arrays([pa.array([windows.astype("<i2").tobytes()], pa.binary())], ["data"])
+            ids = [vocab.ids(tokens_of(t), numbers).astype("<i2").tobytes() for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), make, "data binary")
+    return written(map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary"), "tokens")
+
+
+def padded(ids: list[np.ndarray], filler: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents in one line with RADIUS fillers before each and after all, places of the tokens, and the document of each."""
+    fill = np.full(RADIUS, filler, np.int32)
+    line = np.concatenate([x for own in ids for x in (fill, own)] + [fill])
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    places = np.arange(len(owner)) + RADIUS * (owner + 1)
+    return line, places, owner
+
+
+def training_windows(batch: pa.RecordBatch, filler: int) -> np.ndarray:
+    """Windows of 2 RADIUS + 1 tokens around every STRIDE-th token of each document, from a place that its identifier sets."""
+    line, places, owner = padded(_arrays(batch), filler)
+    starts = np.searchsorted(owner, owner)
+    phase = np.array([xxhash.xxh32_intdigest(str(d)) % STRIDE for d in batch.column("doc_id").to_pylist()], np.int64)
+    chosen = places[(np.arange(len(owner)) - starts + phase[owner]) % STRIDE == 0]
+    return line[chosen[:, None] + np.arange(-RADIUS, RADIUS + 1)]
+
 
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i2") for x in batch.column("ids").to_pylist()]
 
-def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """The trained network; without any window it predicts the shares of the tokens."""
+
+def fit(tokens: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """The network trained on ``encoded`` tokens; without any token it predicts their shares."""
     net = Network.start(vocab.log_share)
-    windows = written(training_windows(docs, vocab), "windows")
+    size = net.size
 
     def local(flat: bytes, rate: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Network(net_size, np.frombuffer(flat, np.float32).copy())
+            own = Network(size, np.frombuffer(flat, np.float32).copy())
             squares = np.full(len(own.flat), 1e-6, np.float32)
             n = 0
             for batch in batches:
-                for data in batch.column("data"):
-                    part = np.frombuffer(data.as_py(), "<i2").reshape(-1, 2 * RADIUS + 1)
+                for i in range(0, batch.num_rows, SLICE):
+                    part = training_windows(batch.slice(i, SLICE), size)
                     own.train(part, rate, squares)
                     n += len(part)
             if n:
@@ -272,9 +294,8 @@ def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
 
         return run
 
-    net_size = net.size
     for k in range(rounds):
-        models = windows.mapInArrow(local(net.flat.tobytes(), RATE / (k + 1)), "model binary, n long")
+        models = tokens.mapInArrow(local(net.flat.tobytes(), RATE / (k + 1)), "model binary, n long")
         tasks = models.rdd.getNumPartitions()
         while tasks > FAN_IN:
             tasks = -(-tasks // FAN_IN)
@@ -284,7 +305,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
             total += np.frombuffer(r[0], np.float32)
             n += r[1]
         if n:
-            net = Network(net.size, (total / n).astype(np.float32))
+            net = Network(size, (total / n).astype(np.float32))
     return net
 
 
@@ -302,44 +323,47 @@ def _add_models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _model_batch(total, n)
 
 
-def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network, numbers: Numbering | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each text, and the sum of their conditional log-probabilities."""
-    line, places, owner = padded(texts, vocab, numbers)
-    sums = np.zeros(len(texts))
+def score_ids(ids: list[np.ndarray], inside: np.ndarray, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each document, and the sum of their conditional log-probabilities."""
+    line, places, owner = padded(ids, net.size)
+    sums = np.zeros(len(ids))
     shift = np.array(OFFSETS)
-    for lo in range(0, len(places), 16384):
-        part = places[lo : lo + 16384]
+    for lo in range(0, len(places), BLOCK):
+        part = places[lo : lo + BLOCK]
         centre = line[part]
-        logs = net.log_probabilities(line[part[:, None] + shift], centre) + vocab.inside[centre]
-        sums += np.bincount(owner[lo : lo + 16384], logs, len(texts))
-    return np.bincount(owner, minlength=len(texts)), sums
+        logs = net.log_probabilities(line[part[:, None] + shift], centre) + inside[centre]
+        sums += np.bincount(owner[lo : lo + BLOCK], logs, len(ids))
+    return np.bincount(owner, minlength=len(ids)), sums
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood and mean_log_probability of each row of ``docs``.
+def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    return score_ids([vocab.ids(tokens_of(t)) for t in texts], vocab.inside, net)
 
-    Null texts and texts without letters or digits have no tokens, the sum 0
-    and no mean. Texts are read whole, in blocks of tokens. Repeated rows score
-    alike. Columns other than doc_id and text are not read. No rows give no rows.
-    """
 
-    def make():
-        numbers = vocab.numbering()
+def score(tokens: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood and mean_log_probability of each row of ``encoded`` tokens."""
+    inside = vocab.inside
 
+    def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, sums = score_texts(batch.column("text").to_pylist(), vocab, net, numbers)
+            n, sums = score_ids(_arrays(batch), inside, net)
             means = [float(s / k) if k else None for s, k in zip(sums, n, strict=True)]
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())]
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
 
         return step
 
-    schema = "doc_id long, n_tokens long, log_likelihood double, mean_log_probability double"
-    return map_rows(docs, make, schema)
+    return map_rows(tokens, make, "doc_id long, n_tokens long, log_likelihood double, mean_log_probability double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """Scores of ``docs`` by a network trained on them; see ``score``."""
+    """doc_id, n_tokens, log_likelihood and mean_log_probability, by a network trained on ``docs`` itself.
+
+    Null texts and texts without letters or digits have no tokens, the sum 0
+    and no mean. Texts are read whole, in blocks of tokens. Repeated rows score
+    alike. Columns other than doc_id and text are not read. No rows give no rows.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocab = vocabulary(rows)
-    return score(rows, vocab, fit(rows, vocab))
+    tokens = encoded(rows, vocab)
+    return score(tokens, vocab, fit(tokens, vocab))

@@ -12,7 +12,7 @@ def trained(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = docs.where("doc_id % 5 <> 0")
     vocab = L.vocabulary(rows)
-    return docs.where("doc_id % 5 = 0"), vocab, L.fit(rows, vocab)
+    return docs.where("doc_id % 5 = 0"), vocab, L.fit(L.encoded(rows, vocab), vocab)
 
 
 def test_better_than_shares_and_lower_when_shuffled(trained):
