@@ -168,21 +168,25 @@ def tensor_invariants(df: DataFrame, components: list[str], prefix: str = "") ->
     The principal values come from the trigonometric form of the cubic; a
     tensor with a component that is not finite gives NaN.
     """
-    xx, yy, zz, xy, yz, zx = (F.col(c).cast("double") for c in components)
-    good = reduce(lambda a, b: a & b, [finite(F.col(c).cast("double")) for c in components])
-    mean = (xx + yy + zz) / 3
-    mises = F.sqrt(0.5 * ((xx - yy) ** 2 + (yy - zz) ** 2 + (zz - xx) ** 2) + 3 * (xy * xy + yz * yz + zx * zx))
+    names = [f"_t{k}" for k in range(6)]
+    out = df.withColumns({n: F.col(c).cast("double") for n, c in zip(names, components, strict=True)})
+    xx, yy, zz, xy, yz, zx = (F.col(n) for n in names)
+    good = reduce(lambda a, b: a & b, [finite(F.col(n)) for n in names])
+    out = out.withColumns({"_good": good, "_mean": (xx + yy + zz) / 3, "_off": xy * xy + yz * yz + zx * zx})
+    mean, off = F.col("_mean"), F.col("_off")
     a, b, c = xx - mean, yy - mean, zz - mean
-    p2 = (a * a + b * b + c * c + 2 * (xy * xy + yz * yz + zx * zx)) / 6
-    p = F.sqrt(p2)
     det = a * (b * c - yz * yz) - xy * (xy * c - yz * zx) + zx * (xy * yz - b * zx)
-    r = F.when(p > 0, det / (2 * F.when(p > 0, p).otherwise(F.lit(1.0)) ** 3)).otherwise(F.lit(0.0))
-    angle = F.acos(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))) / 3
-    third = 2 * 3.141592653589793 / 3
-    high, low = mean + 2 * p * F.cos(angle), mean + 2 * p * F.cos(angle + third)
+    out = out.withColumns({"_p": F.sqrt((a * a + b * b + c * c + 2 * off) / 6), "_det": det})
+    p = F.col("_p")
+    r = F.when(p > 0, F.col("_det") / (2 * F.when(p > 0, p).otherwise(F.lit(1.0)) ** 3)).otherwise(F.lit(0.0))
+    out = out.withColumn("_angle", F.acos(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))) / 3)
+    angle, third = F.col("_angle"), 2 * 3.141592653589793 / 3
+    out = out.withColumns({"_high": mean + 2 * p * F.cos(angle), "_low": mean + 2 * p * F.cos(angle + third)})
+    mises = F.sqrt(0.5 * ((xx - yy) ** 2 + (yy - zz) ** 2 + (zz - xx) ** 2) + 3 * off)
     nan = F.lit(float("nan"))
-    values = {"von_mises": mises, "hydrostatic": mean, "principal_1": low, "principal_2": 3 * mean - high - low, "principal_3": high}
-    return df.withColumns({prefix + k: F.when(good, v).otherwise(nan) for k, v in values.items()})
+    values = {"von_mises": mises, "hydrostatic": mean, "principal_1": F.col("_low"), "principal_2": 3 * mean - F.col("_high") - F.col("_low"), "principal_3": F.col("_high")}
+    out = out.withColumns({prefix + k: F.when(F.col("_good"), v).otherwise(nan) for k, v in values.items()})
+    return out.drop(*names, "_good", "_mean", "_off", "_p", "_det", "_angle", "_high", "_low")
 
 
 #: End colours of the maps, red green blue from 0 to 255.

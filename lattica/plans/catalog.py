@@ -814,3 +814,135 @@ def laplacian_eigenmodes(spark, d):
     from ..operators.kernels import laplacian_eigenmodes as run
 
     return rounded(run(Y.adjacency(lattice(spark, (7, 6)).cells), 1).drop("mesh_id"))
+
+
+# Fields
+
+
+@query("SELECT i AS point_id, round(CASE WHEN 0.3 + i * 0.31 <= 7 AND 0.2 + i * 0.27 <= 6 THEN 0.7 + i * 0.85 ELSE 0 END, 6)::DOUBLE AS v FROM range(20) t(i)")
+def interpolate_barycentric(spark, d):
+    from ..operators.fields import barycentric
+
+    mesh = lattice(spark, (7, 6))
+    flat = MeshFrame(mesh.points.withColumn("v", F.col("x") + 2 * F.col("y")), N.simplexify(mesh.cells))
+    i = F.col("id")
+    target = spark.range(20).select(F.lit("grid").alias("mesh_id"), i.alias("point_id"), (0.3 + i * 0.31).alias("x"), (0.2 + i * 0.27).alias("y"), F.lit(0.0).alias("z"))
+    return rounded(barycentric(target, flat, ["v"]).select("point_id", "v"))
+
+
+@query("SELECT p_partkey AS point_id, p_retailprice * 0.7 + 30 AS p_retailprice, p_size FROM part")
+def blend_steps(spark, d):
+    from ..operators.fields import blend_steps as run
+
+    a = part_arrays(spark, d)
+    b = a.withColumns({"p_retailprice": F.lit(100.0), "p_size": F.lit(1)})
+    return rounded(run(a, b, ["point_id"], ["p_retailprice", "p_size"], 0.3).select("point_id", "p_retailprice", "p_size"))
+
+
+SQL["blend_steps"] = "SELECT p_partkey AS point_id, round(p_retailprice * 0.7 + 30, 6) AS p_retailprice, p_size FROM part"
+
+
+@query("SELECT 210::BIGINT AS matched, 0::BIGINT AS ambiguous, 0::BIGINT AS lost, 30::BIGINT AS violations")
+def diff_unordered(spark, d):
+    from ..operators.fields import diff_unordered as run
+
+    a = lattice(spark, DIMS).points
+    b = a.withColumn("point_id", 1000 - F.col("point_id")).withColumn("u", F.col("u") + F.when(F.col("x") == 0, 1.0).otherwise(0.0))
+    return run(a, b, ["u"]).drop("mesh_id")
+
+
+@query(HEX + "SELECT point_id, x + 0.1 * u AS x, y, z - 0.2 * u AS z FROM pts")
+def exaggerate(spark, d):
+    from ..operators.fields import exaggerate as run
+
+    p = lattice(spark, DIMS).points.withColumns({"dx": F.col("u") * 0.05, "dy": F.lit(0.0), "dz": F.col("u") * -0.1})
+    return rounded(run(p, ("dx", "dy", "dz"), 2.0).select("point_id", "x", "y", "z"))
+
+
+SQL["exaggerate"] = HEX + "SELECT point_id, round(x + 0.1 * u, 6) AS x, round(y, 6) AS y, round(z - 0.2 * u, 6) AS z FROM pts"
+
+
+@query(HEX + "SELECT cell_id, 2.0::DOUBLE AS h_xx, 1.0::DOUBLE AS h_yz, 1.0::DOUBLE AS h_zy FROM cells WHERE cell_id % 6 BETWEEN 1 AND 4 AND (cell_id // 6) % 5 BETWEEN 1 AND 3 AND cell_id // 30 BETWEEN 1 AND 2")
+def hessian(spark, d):
+    from ..operators.fields import hessian as run
+
+    inner = (F.col("cell_id") % 6).between(1, 4) & (F.floor(F.col("cell_id") / 6) % 5).between(1, 3) & F.floor(F.col("cell_id") / 30).between(1, 2)
+    return rounded(run(lattice(spark, DIMS), "u").where(inner).select("cell_id", "h_xx", "h_yz", "h_zy"))
+
+
+@query("SELECT * FROM (VALUES (20::BIGINT, 2::BIGINT), (24::BIGINT, 2::BIGINT), (30::BIGINT, 2::BIGINT)) t(faces, patches)")
+def segment(spark, d):
+    from ..operators.fields import segment as run
+
+    sizes = run(Y.surface_mesh(lattice(spark, DIMS))).groupBy("patch").agg(F.count(F.lit(1)).alias("faces"))
+    return sizes.groupBy("faces").agg(F.count(F.lit(1)).alias("patches"))
+
+
+@query(HEX + "SELECT cell_id, greatest(cell_id % 6, (cell_id // 6) % 5, cell_id // 30)::INT AS ring FROM cells WHERE greatest(cell_id % 6, (cell_id // 6) % 5, cell_id // 30) <= 2")
+def select_grown_patch(spark, d):
+    from ..operators.fields import grow
+
+    cells = lattice(spark, DIMS).cells
+    return grow(cells, cells.where("cell_id = 0"), 2).select("cell_id", "ring")
+
+
+@query(HEX + "SELECT point_id, x, y, z, u, (x = 0)::INT AS region_left, (y = 0)::INT AS region_low FROM pts")
+def feature_columns(spark, d):
+    from ..operators.fields import feature_columns as run
+
+    m = lattice(spark, DIMS)
+    regions = C.select(m, "left", "point", F.col("x") == 0).unionAll(C.select(m, "low", "point", F.col("y") == 0))
+    return run(m.points, ["u"], regions, ["low", "left"]).drop("mesh_id")
+
+
+@query("""WITH s AS (SELECT avg(p_size) m1, stddev_pop(p_size) s1, avg(p_retailprice) m2, stddev_pop(p_retailprice) s2 FROM part),
+c AS (SELECT p_partkey, sqrt((((p_size - m1) / s1) ** 2 + ((p_retailprice - m2) / s2) ** 2) / 2) AS score FROM part, s)
+SELECT p_partkey AS point_id, round(score, 6) AS score, score <= 0.8 * (SELECT max(score) FROM c) AS within FROM c""")
+def geometry_guard(spark, d):
+    from ..operators.fields import geometry_guard as run
+
+    p = part_arrays(spark, d)
+    return rounded(run(p, p, ["p_size", "p_retailprice"], 0.8).select("point_id", "score", "within"))
+
+
+@query("SELECT count(*) AS n, 0.0::DOUBLE AS worst FROM embeddings")
+def register_landmarks(spark, d):
+    from ..operators.fields import register_landmarks as run
+
+    p = cloud(spark, d)
+    moved = G.transform(p, G.composed(G.translation(1, 2, 3), G.rotation((1, 1, 1), 40)))
+    other = moved.select("point_id", *[F.col(c).alias(f"other_{c}") for c in "xyz"])
+    back = G.transform(p, run(p.join(other, "point_id")).tolist()).join(other, "point_id")
+    err = F.sqrt(sum(((F.col(c) - F.col(f"other_{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    return back.agg(F.count(F.lit(1)).alias("n"), F.abs(F.round(F.max(err), 6)).alias("worst"))
+
+
+@query(HEX + "SELECT cell_id, 1 AS occupied FROM cells WHERE cell_id % 6 < 4")
+def voxelize(spark, d):
+    from ..operators.kernels import signed_distance
+
+    inside = N.grid(spark, (4, 5, 4))
+    skin = Y.surface_mesh(inside)
+    flat = skin.with_(cells=N.simplexify(skin.cells.select(*CELL_KEYS, "cell_type", "nodes"))).with_corners()
+    centres = G.centroids(lattice(spark, DIMS)).select("mesh_id", F.col("cell_id").alias("point_id"), *[F.col(f"c{c}").alias(c) for c in "xyz"])
+    return signed_distance(centres, flat).where("distance < 0").select(F.col("point_id").alias("cell_id"), F.lit(1).alias("occupied"))
+
+
+@query("SELECT * FROM (VALUES (0, 120::BIGINT), (1, 120::BIGINT)) t(section, n)")
+def sections(spark, d):
+    m = lattice(spark, DIMS)
+    out = None
+    for k, x in enumerate((0.5, 4.5)):
+        s = N.slice_mesh(m, (x, 0, 0), (1, 0, 0)).withColumn("section", F.lit(k))
+        out = s if out is None else out.unionAll(s)
+    return out.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey AS point_id, 10 * p_size + p_partkey % 10 AS weighted FROM part")
+def data_calc_pipeline(spark, d):
+    from .pipeline import run_pipeline
+
+    mesh = order_mesh(spark, d)
+    points = mesh.points.withColumn("r", F.col("point_id") % 10)
+    steps = {"steps": [{"op": "data_calc", "output": "weighted", "expression": "10 * p_size + r"}, {"op": "data_keep", "names": ["weighted"]}]}
+    return run_pipeline(mesh.with_(points=points), steps).points.select("point_id", F.col("weighted").cast("bigint").alias("weighted"))
