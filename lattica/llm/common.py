@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows turned into Python objects at a time, which bounds a worker's memory.
 SLICE = 256
 
+#: Marks that part words: those of ASCII and the usual ones beyond.
+MARKS = string.punctuation + "“”„‘’‚«»‹›…–—·¿¡•、。，"
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER_ASCII = str.maketrans(_UPPER, _UPPER.lower())
 _TO_SPACE = str.maketrans(dict.fromkeys(SPACES, " "))
@@ -48,6 +52,17 @@ def words_of(text: str) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
+def plain_words(text: str | None) -> list[str]:
+    """Words of the lower-cased text, parted by white space and MARKS."""
+    if not text:
+        return []
+    text = text.lower()
+    for c in MARKS:
+        if c in text:
+            text = text.replace(c, " ")
+    return text.split()
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
