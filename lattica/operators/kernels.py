@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import or_nan
 from ..mesh import POINT_KEYS
 from .spatial import k_nearest
 
@@ -51,7 +52,8 @@ def estimate_normals(points: DataFrame, k: int = 16, viewpoint: tuple[float, flo
             n = np.where(bad[:, None], np.nan, n)
             yield pd.DataFrame({"mesh_id": p.mesh_id, "point_id": p.point_id, "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "variation": np.where(bad, np.nan, values[:, 0] / np.maximum(total, 1e-300))})
 
-    return rows.mapInPandas(solve, "mesh_id string, point_id bigint, nx double, ny double, nz double, variation double")
+    made = rows.mapInPandas(solve, "mesh_id string, point_id bigint, nx double, ny double, nz double, variation double")
+    return made.withColumns({n: or_nan(F.col(n)) for n in ("nx", "ny", "nz", "variation")})  # pandas hands NaN over as null
 
 
 def fit_rigid(source: np.ndarray, target: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:

@@ -946,3 +946,119 @@ def data_calc_pipeline(spark, d):
     points = mesh.points.withColumn("r", F.col("point_id") % 10)
     steps = {"steps": [{"op": "data_calc", "output": "weighted", "expression": "10 * p_size + r"}, {"op": "data_keep", "names": ["weighted"]}]}
     return run_pipeline(mesh.with_(points=points), steps).points.select("point_id", F.col("weighted").cast("bigint").alias("weighted"))
+
+
+# Surfaces
+
+
+def _flat(spark, dims=(7, 6)) -> MeshFrame:
+    mesh = lattice(spark, dims)
+    return mesh.with_(cells=N.simplexify(mesh.cells.select(*CELL_KEYS, "cell_type", "nodes")))
+
+
+def _box(spark) -> MeshFrame:
+    skin = Y.surface_mesh(lattice(spark, DIMS))
+    return skin.with_(cells=N.simplexify(skin.cells.select(*CELL_KEYS, "cell_type", "nodes")))
+
+
+@query("SELECT 'wedge' AS cell_type, 84::BIGINT AS cells, 21.0::DOUBLE AS volume")
+def thicken(spark, d):
+    from ..operators.surfaces import thicken as run
+
+    return rounded(G.with_measure(run(_flat(spark), 0.5)).groupBy("cell_type").agg(F.count(F.lit(1)).alias("cells"), F.sum("measure").alias("volume")))
+
+
+@query(QUAD + "SELECT point_id, x, y, 0.25::DOUBLE AS z FROM pts")
+def offset_surface(spark, d):
+    from ..operators.surfaces import offset_points
+
+    return rounded(offset_points(_flat(spark), 0.25).points.select("point_id", "x", "y", "z"))
+
+
+@query("SELECT 15.0::DOUBLE AS area")
+def clip(spark, d):
+    from ..operators.surfaces import clip_triangles
+
+    p = F.col("polygon")
+    fan = F.transform(F.sequence(F.lit(1), F.size(p) - 2), lambda k: F.abs((p[k]["x"] - p[0]["x"]) * (p[k + 1]["y"] - p[0]["y"]) - (p[k]["y"] - p[0]["y"]) * (p[k + 1]["x"] - p[0]["x"])) / 2)
+    return rounded(clip_triangles(_flat(spark), (2.5, 0, 0), (1, 0, 0)).agg(F.sum(F.aggregate(fan, F.lit(0.0), lambda a, x: a + x)).alias("area")))
+
+
+@query("SELECT 5 AS faces, 720::BIGINT AS children")
+def subdivide(spark, d):
+    from ..operators.surfaces import subdivide as run
+
+    return run(lattice(spark, DIMS)).groupBy(F.size("faces").alias("faces")).agg(F.count(F.lit(1)).alias("children"))
+
+
+@query(QUAD + "SELECT point_id, x, y, 0.0::DOUBLE AS z FROM pts")
+def shrinkwrap(spark, d):
+    from ..operators.surfaces import shrinkwrap as run
+
+    mesh = _flat(spark)
+    lifted = mesh.points.withColumn("z", F.col("x") * 0.1)
+    return rounded(run(lifted, mesh.with_corners()).select("point_id", "x", "y", "z")).withColumn("z", F.abs("z"))
+
+
+@query(QUAD + "SELECT point_id, round(0.1 * x, 6) AS gap, 0.1 * x <= 0.35 AS touches FROM pts")
+def contact_pairs(spark, d):
+    from ..operators.surfaces import contact_pairs as run
+
+    mesh = _flat(spark)
+    out = run(mesh.points.withColumn("z", F.col("x") * 0.1), mesh.with_corners(), 0.35)
+    return rounded(out.select("point_id", "gap", F.col("cell_id").isNotNull().alias("touches")))
+
+
+@query("SELECT thickness, count(*) * 2 * 2 AS n FROM (SELECT 6.0::DOUBLE AS thickness FROM range(20) UNION ALL SELECT 5.0 FROM range(24) UNION ALL SELECT 4.0 FROM range(30)) GROUP BY 1")
+def thickness(spark, d):
+    from ..operators.surfaces import thickness as run
+
+    return rounded(run(_box(spark).with_corners())).groupBy("thickness").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 20::BIGINT AS pairs, 0.5::DOUBLE AS distance")
+def find_interface_proximity(spark, d):
+    from ..operators.surfaces import find_interface_proximity as run
+
+    a = Y.surface_mesh(lattice(spark, DIMS))
+    b = a.with_(points=G.transform(a.points, G.translation(6.5, 0, 0)))
+    both = C.merge([a, b], "both")
+    side = lambda k: both.cells.where(F.col("source_mesh") == k)
+    return rounded(run(both, side(0), side(1), 0.6).agg(F.count(F.lit(1)).alias("pairs"), F.max("distance").alias("distance")))
+
+
+@query("SELECT 63::BIGINT AS n, true AS narrow")
+def reorder_rcm(spark, d):
+    from ..operators.surfaces import reorder_rcm as run
+
+    graph = Y.adjacency(N.grid(spark, (20, 2)).cells)
+    new = run(graph)
+    a, b = new.select(F.col("point_id").alias("src"), F.col("new_id").alias("i")), new.select(F.col("point_id").alias("dst"), F.col("new_id").alias("j"))
+    width = graph.join(a, "src").join(b, "dst").agg(F.max(F.abs(F.col("i") - F.col("j"))).alias("w"))
+    return new.agg(F.count(F.lit(1)).alias("n")).join(width).select("n", (F.col("w") <= 4).alias("narrow"))
+
+
+@query()
+def delaunay_2d(spark, d):
+    from ..operators.surfaces import delaunay_2d as run
+
+    return run(cloud(spark, d)).select("a", "b", "c")
+
+
+@query()
+def convex_hull(spark, d):
+    from ..operators.surfaces import convex_hull as run
+
+    return run(cloud(spark, d)).select("a", "b", "c")
+
+
+@query(HEX + "SELECT cell_id, 4.0::DOUBLE AS m_xx, 1.0::DOUBLE AS m_yy FROM cells WHERE cell_id % 6 BETWEEN 1 AND 4 AND (cell_id // 6) % 5 BETWEEN 1 AND 3 AND cell_id // 30 BETWEEN 1 AND 2")
+def metric_from_hessian(spark, d):
+    from ..operators.fields import hessian as second
+    from ..operators.surfaces import metric_from_hessian as run
+
+    inner = (F.col("cell_id") % 6).between(1, 4) & (F.floor(F.col("cell_id") / 6) % 5).between(1, 3) & F.floor(F.col("cell_id") / 30).between(1, 2)
+    return rounded(run(second(lattice(spark, DIMS), "u").where(inner), 0.5, 0.1, 1.0).select("cell_id", "m_xx"))
+
+
+SQL["metric_from_hessian"] = HEX + "SELECT cell_id, 4.0::DOUBLE AS m_xx FROM cells WHERE cell_id % 6 BETWEEN 1 AND 4 AND (cell_id // 6) % 5 BETWEEN 1 AND 3 AND cell_id // 30 BETWEEN 1 AND 2"
