@@ -71,30 +71,35 @@ def anchors(code: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return grams[place[first]], place[first], first, last
 
 
+def chosen(key: np.ndarray, keys: list[int]) -> np.ndarray:
+    """The anchors whose hash is among ``keys``."""
+    return np.flatnonzero(np.isin(key.view(np.int64), np.array(keys, np.int64)))
+
+
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """key, doc_id and place of every anchor."""
+    """key, doc_id and n: how often a document has each of its anchors, once for a key, so that periodic texts don't crowd it."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, ids, places = [], [], []
+            keys, ids, counts = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                key, place, _, _ = anchors(codes(words_of(text)), window)
+                key, n = np.unique(anchors(codes(words_of(text)), window)[0], return_counts=True)
                 keys.append(key.view(np.int64))
                 ids.append(np.full(len(key), doc, np.int64))
-                places.append(place.astype(np.int32))
+                counts.append(n.astype(np.int32))
             join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
             return pa.RecordBatch.from_arrays(
-                [pa.array(join(keys, np.int64)), pa.array(join(ids, np.int64)), pa.array(join(places, np.int32))],
-                ["key", "doc_id", "place"],
+                [pa.array(join(keys, np.int64)), pa.array(join(ids, np.int64)), pa.array(join(counts, np.int32))],
+                ["key", "doc_id", "n"],
             )
 
         return step
 
-    return map_rows(docs, make, "key long, doc_id long, place int")
+    return map_rows(docs, make, "key long, doc_id long, n int")
 
 
 def contexts(docs: DataFrame, window: int) -> DataFrame:
-    """For each place in ``places`` the words of all windows that it anchors: key, doc_id, start, suffixes, words.
+    """The words of all windows that each anchor in ``keys`` stands for: key, doc_id, start, suffixes, words.
 
     Of rows of one slice with the same words only the first keeps them: the
     others are repeats already, and come with null instead.
@@ -104,12 +109,11 @@ def contexts(docs: DataFrame, window: int) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [], [])
             seen: set[str] = set()
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "places")]
-            for doc, text, places in sorted(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "keys")]
+            for doc, text, keys in sorted(zip(*columns, strict=True)):
                 words = words_of(text)
-                key, place, first, last = anchors(codes(words), window)
-                at = np.searchsorted(place, np.sort(np.array(places)))
-                for k in at.tolist():
+                key, _, first, last = anchors(codes(words), window)
+                for k in chosen(key, keys).tolist():
                     lo, hi = int(first[k]), int(last[k])
                     context = " ".join(words[lo : hi + window])
                     row = (int(key[k].view(np.int64)), doc, lo, hi - lo + 1, None if context in seen else context)
@@ -214,7 +218,7 @@ def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """For each place in ``places`` the windows that it anchors: a 128-bit hash, doc_id, lo and hi.
+    """The windows that each anchor in ``keys`` stands for: a 128-bit hash, doc_id, lo and hi.
 
     Of equal windows of one slice only the first comes with its hash (lo = hi):
     the others are repeats already, and come as runs with null instead.
@@ -223,13 +227,12 @@ def window_rows(docs: DataFrame, window: int) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             parts: list[list[np.ndarray]] = [[], [], [], []]
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "places")]
-            for doc, text, places in sorted(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "keys")]
+            for doc, text, keys in sorted(zip(*columns, strict=True)):
                 code = codes(words_of(text))
-                _, place, first, last = anchors(code, window)
+                key, _, first, last = anchors(code, window)
                 a, b = rolled(code, window, _M1), rolled(code ^ _M1, window, _M2)
-                at = np.searchsorted(place, np.sort(np.array(places)))
-                starts = np.concatenate([np.arange(first[k], last[k] + 1) for k in at])
+                starts = np.concatenate([np.arange(first[k], last[k] + 1) for k in chosen(key, keys)])
                 for column, value in zip(parts, (a[starts], b[starts], np.full(len(starts), doc), starts), strict=True):
                     column.append(value)
             a, b, ids, starts = (np.concatenate(p) for p in parts)
@@ -274,18 +277,19 @@ def leaf_repeats(rows: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT) -> DataFrame:
     """doc_id, lo and hi (inclusive) of the window starts that also start earlier. ``docs`` has doc_id and text."""
     rows = anchor_rows(docs, window)
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = rows.join(sizes, "key")
-    crowded = F.col("n") > limit
+    # written apart, so that the join is free to split an anchor that very many documents share
+    sizes = written(rows.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1"), "anchors")
+    again = rows.select("key", "doc_id").join(sizes, "key")
+    crowded = F.col("total") > limit
     by_doc = written(
         again.groupBy("doc_id").agg(
-            F.collect_list(F.when(~crowded, F.col("place"))).alias("few"),
-            F.collect_list(F.when(crowded, F.col("place"))).alias("many"),
+            F.collect_list(F.when(~crowded, F.col("key"))).alias("few"),
+            F.collect_list(F.when(crowded, F.col("key"))).alias("many"),
         ),
-        "places",
+        "keys",
     )
-    few = docs.join(by_doc.where("size(few) > 0").select("doc_id", F.col("few").alias("places")), "doc_id")
-    many = docs.join(by_doc.where("size(many) > 0").select("doc_id", F.col("many").alias("places")), "doc_id")
+    few = docs.join(by_doc.where("size(few) > 0").select("doc_id", F.col("few").alias("keys")), "doc_id")
+    many = docs.join(by_doc.where("size(many) > 0").select("doc_id", F.col("many").alias("keys")), "doc_id")
     return tree_repeats(contexts(few, window), window).unionAll(leaf_repeats(written(window_rows(many, window), "windows")))
 
 
