@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..mesh import MeshFrame
-from . import binary_formats, text_formats  # noqa: F401  (they register their formats)
+from . import binary_formats, more_formats, text_formats  # noqa: F401  (they register their formats)
 from .raw import FORMATS, RawMesh, detect
 
 ROW = "mesh_id string, kind string, id bigint, x double, y double, z double, cell_type string, nodes array<bigint>, name string, tag bigint, data map<string, array<double>>"

@@ -14,8 +14,8 @@ SOLID = RawMesh(
     [[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0], [0, 0, 1], [1, 0, 1], [1, 1, 1], [0, 1, 1], [0.5, 0.5, 2]],
     [("hexahedron", list(range(8))), ("pyramid", [4, 5, 6, 7, 8]), ("tetra", [0, 1, 2, 4])],
 )
-SOLIDS = ["medit", "su2", "gmsh", "vtk", "vtu", "abaqus", "avsucd", "nastran", "ugrid", "mesh-json"]
-SURFACES = ["off", "obj", "stl", "ply", "wkt", "dolfin-xml", *SOLIDS]
+SOLIDS = ["medit", "su2", "gmsh", "vtk", "vtu", "abaqus", "avsucd", "nastran", "ugrid", "mesh-json", "lsdyna", "mfem", "xdmf"]
+SURFACES = ["tecplot", "unv", "off", "obj", "stl", "ply", "wkt", "dolfin-xml", *SOLIDS]
 
 
 def same(a: RawMesh, b: RawMesh) -> None:
@@ -48,7 +48,13 @@ def test_cloud_round_trip(name):
     assert np.allclose(f.read(f.write(SURFACE)).points, SURFACE.points)
 
 
-@pytest.mark.parametrize("name", ["vtk", "vtu", "mesh-json", "avsucd"])
+def test_wedges_in_decks():
+    mesh = RawMesh([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1], [1, 0, 1], [0, 1, 1]], [("wedge", list(range(6)))])
+    for name in ("lsdyna", "unv", "xdmf", "mfem", "nastran", "abaqus"):
+        same(mesh, FORMATS[name].read(FORMATS[name].write(mesh)))
+
+
+@pytest.mark.parametrize("name", ["vtk", "vtu", "mesh-json", "avsucd", "xdmf"])
 def test_data_round_trip(name):
     mesh = RawMesh(SURFACE.points, SURFACE.cells, {"u": np.arange(4.0).reshape(-1, 1), "v": np.arange(12.0).reshape(4, 3)})
     got = FORMATS[name].read(FORMATS[name].write(mesh))
