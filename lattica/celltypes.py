@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 TYPES = {
     "vertex": (0, 1, 1), "line": (1, 2, 2), "line3": (1, 3, 2),
     "triangle": (2, 3, 3), "triangle6": (2, 6, 3), "quad": (2, 4, 4), "quad8": (2, 8, 4), "quad9": (2, 9, 4),
-    "tetra": (3, 4, 4), "tetra10": (3, 10, 4), "pyramid": (3, 5, 5), "wedge": (3, 6, 6),
+    "tetra": (3, 4, 4), "tetra10": (3, 10, 4), "pyramid": (3, 5, 5), "wedge": (3, 6, 6), "wedge15": (3, 15, 6),
     "hexahedron": (3, 8, 8), "hexahedron20": (3, 20, 8),
 }
 #: Linear type on the corners.
-LINEAR = {"line3": "line", "triangle6": "triangle", "quad8": "quad", "quad9": "quad", "tetra10": "tetra", "hexahedron20": "hexahedron"}
+LINEAR = {"line3": "line", "triangle6": "triangle", "quad8": "quad", "quad9": "quad", "tetra10": "tetra", "wedge15": "wedge", "hexahedron20": "hexahedron"}
 #: Quadratic type with one node more for each edge, in the order of EDGES.
-ELEVATED = {"line": "line3", "triangle": "triangle6", "quad": "quad8", "tetra": "tetra10", "hexahedron": "hexahedron20"}
+ELEVATED = {"line": "line3", "triangle": "triangle6", "quad": "quad8", "tetra": "tetra10", "wedge": "wedge15", "hexahedron": "hexahedron20"}
 EDGES = {
     "line": [(0, 1)],
     "triangle": [(0, 1), (1, 2), (2, 0)],

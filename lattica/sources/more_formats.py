@@ -71,7 +71,8 @@ _TEC = {"FETRIANGLE": "triangle", "FEQUADRILATERAL": "quad", "FETETRAHEDRON": "t
 
 def read_tecplot(data: bytes) -> RawMesh:
     text = data.decode("utf-8", "replace")
-    names = re.findall(r'"([^"]*)"', re.search(r"VARIABLES\s*=\s*((?:\"[^\"]*\"[\s,]*)+)", text, re.I)[1])
+    listed = re.search(r"VARIABLES\s*=(.*?)(?=\n\s*ZONE)", text, re.I | re.S)[1]
+    names = re.findall(r'"([^"]*)"', listed) or re.findall(r"[^\s,]+", listed)
     zone = re.search(r"ZONE\b([^\n]*(?:\n[^\n]*=[^\n]*)*)\n", text, re.I)
     options = {k.upper(): v.strip().strip('"').upper() for k, v in re.findall(r'(\w+)\s*=\s*("[^"]*"|[^\s,]+)', zone[1])}
     n, m = int(options.get("N", options.get("NODES", 0))), int(options.get("E", options.get("ELEMENTS", 0)))

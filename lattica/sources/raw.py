@@ -61,7 +61,8 @@ def detect(path: str, head: bytes) -> str:
     """The format of a file: by extension, among several by content; an error if none fits."""
     named, seen = by_path(path), sniff(head)
     both = [n for n in named if n in seen]
-    found = both or named or seen
+    silent = [n for n in named if not FORMATS[n].starts]  # that have no opening of their own
+    found = both or silent or named or seen
     if not found:
         raise ValueError(f"the format of {path} is not known")
     return found[0]

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from ..celltypes import TYPES
+from ..celltypes import EDGES, LINEAR, TYPES
 from .raw import RawMesh, register
 
 
@@ -148,7 +148,7 @@ def write_medit(mesh: RawMesh) -> bytes:
 
 
 #: VTK numbers, shared by SU2 and VTU.
-VTK = {1: "vertex", 3: "line", 5: "triangle", 7: "polygon", 9: "quad", 10: "tetra", 12: "hexahedron", 13: "wedge", 14: "pyramid", 21: "line3", 22: "triangle6", 23: "quad8", 24: "tetra10", 25: "hexahedron20", 28: "quad9"}
+VTK = {1: "vertex", 3: "line", 5: "triangle", 7: "polygon", 9: "quad", 10: "tetra", 12: "hexahedron", 13: "wedge", 14: "pyramid", 21: "line3", 22: "triangle6", 23: "quad8", 24: "tetra10", 25: "hexahedron20", 26: "wedge15", 28: "quad9"}
 VTK_NUMBER = {v: k for k, v in VTK.items()}
 
 
@@ -201,8 +201,23 @@ def write_su2(mesh: RawMesh) -> bytes:
 
 
 #: Gmsh numbers.
-GMSH = {1: "line", 2: "triangle", 3: "quad", 4: "tetra", 5: "hexahedron", 6: "wedge", 7: "pyramid", 8: "line3", 9: "triangle6", 10: "quad9", 11: "tetra10", 15: "vertex", 16: "quad8"}
+GMSH = {1: "line", 2: "triangle", 3: "quad", 4: "tetra", 5: "hexahedron", 6: "wedge", 7: "pyramid", 8: "line3", 9: "triangle6", 10: "quad9", 11: "tetra10", 15: "vertex", 16: "quad8", 17: "hexahedron20", 18: "wedge15"}
 GMSH_NUMBER = {v: k for k, v in GMSH.items()}
+#: Edges in the order of this format's middle nodes, where it is not that of EDGES.
+GMSH_EDGES = {
+    "tetra10": [(0, 1), (1, 2), (0, 2), (0, 3), (2, 3), (1, 3)],
+    "wedge15": [(0, 1), (0, 2), (0, 3), (1, 2), (1, 4), (2, 5), (3, 4), (3, 5), (4, 5)],
+    "hexahedron20": [(0, 1), (0, 3), (0, 4), (1, 2), (1, 5), (2, 3), (2, 6), (3, 7), (4, 5), (4, 7), (5, 6), (6, 7)],
+}
+
+
+def _gmsh_order(kind: str) -> list[int]:
+    """For each of our nodes its place in this format."""
+    if kind not in GMSH_EDGES:
+        return list(range(TYPES[kind][1]))
+    corners = TYPES[kind][2]
+    theirs = [frozenset(e) for e in GMSH_EDGES[kind]]
+    return [*range(corners), *(corners + theirs.index(frozenset(e)) for e in EDGES[LINEAR[kind]])]
 
 
 def _sections(data: bytes) -> dict[str, list[list[str]]]:
@@ -247,7 +262,7 @@ def read_gmsh(data: bytes) -> RawMesh:
                 cells.append((kind, [int(x) for x in next(rows)[1:]]))
                 tags.append(int(head[1]))
     place = {v: k for k, v in enumerate(ids)}
-    cells = [(t, [place[i] for i in n]) for t, n in cells]
+    cells = [(t, [place[n[k]] for k in _gmsh_order(t)]) for t, n in cells]
     names = {(int(w[0]), int(w[1])): " ".join(w[2:]).strip('"') for w in s.get("PhysicalNames", [])[1:]}
     regions = []
     for (dim, tag), name in names.items():
@@ -266,7 +281,8 @@ def write_gmsh(mesh: RawMesh) -> bytes:
     out = ["$MeshFormat", "2.2 0 8", "$EndMeshFormat", "$Nodes", str(len(mesh.points)), *(f"{i + 1} {_row(p)}" for i, p in enumerate(mesh.points)), "$EndNodes", "$Elements", str(len(mesh.cells))]
     for i, (t, n) in enumerate(mesh.cells):
         g = int(tags[i, 0]) if tags is not None else 0
-        out.append(f"{i + 1} {GMSH_NUMBER[t]} 2 {g} {g} " + " ".join(str(x + 1) for x in n))
+        order = _gmsh_order(t)
+        out.append(f"{i + 1} {GMSH_NUMBER[t]} 2 {g} {g} " + " ".join(str(n[order.index(k)] + 1) for k in range(len(n))))
     return _text([*out, "$EndElements"])
 
 
@@ -411,8 +427,8 @@ def write_vtu(mesh: RawMesh) -> bytes:
 
 # Decks
 
-ABAQUS = {"T3D2": "line", "B31": "line", "S3": "triangle", "CPS3": "triangle", "CPE3": "triangle", "S4": "quad", "S4R": "quad", "CPS4": "quad", "CPE4": "quad", "C3D4": "tetra", "C3D5": "pyramid", "C3D6": "wedge", "C3D8": "hexahedron", "C3D8R": "hexahedron", "C3D10": "tetra10", "C3D20": "hexahedron20"}
-ABAQUS_NAME = {"line": "T3D2", "triangle": "S3", "quad": "S4", "tetra": "C3D4", "pyramid": "C3D5", "wedge": "C3D6", "hexahedron": "C3D8", "tetra10": "C3D10", "hexahedron20": "C3D20"}
+ABAQUS = {"T2D2": "line", "T3D3": "line3", "B32": "line3", "S6": "triangle6", "S8": "quad8", "C3D8I": "hexahedron", "DC3D8": "hexahedron", "DC3D4": "tetra", "C3D15": "wedge15", "T3D2": "line", "B31": "line", "S3": "triangle", "CPS3": "triangle", "CPE3": "triangle", "S4": "quad", "S4R": "quad", "CPS4": "quad", "CPE4": "quad", "C3D4": "tetra", "C3D5": "pyramid", "C3D6": "wedge", "C3D8": "hexahedron", "C3D8R": "hexahedron", "C3D10": "tetra10", "C3D20": "hexahedron20"}
+ABAQUS_NAME = {"line": "T3D2", "triangle": "S3", "quad": "S4", "tetra": "C3D4", "pyramid": "C3D5", "wedge": "C3D6", "hexahedron": "C3D8", "tetra10": "C3D10", "wedge15": "C3D15", "hexahedron20": "C3D20", "line3": "T3D3", "triangle6": "S6", "quad8": "S8"}
 
 
 def read_abaqus(data: bytes) -> RawMesh:

@@ -48,6 +48,31 @@ def test_cloud_round_trip(name):
     assert np.allclose(f.read(f.write(SURFACE)).points, SURFACE.points)
 
 
+@pytest.mark.parametrize("name", ["gmsh", "vtk", "vtu", "abaqus"])
+def test_quadratic_cells(name):
+    rng = np.random.default_rng(1)
+    cells, at = [], 0
+    for kind, n in (("tetra10", 10), ("wedge15", 15), ("hexahedron20", 20), ("quad8", 8), ("triangle6", 6)):
+        cells.append((kind, list(range(at, at + n))))
+        at += n
+    mesh = RawMesh(rng.random((at, 3)), cells)
+    same(mesh, FORMATS[name].read(FORMATS[name].write(mesh)))
+
+
+def test_middle_nodes_stand_on_their_edges():
+    """A tetrahedron as another program writes it: its last two middle nodes are swapped."""
+    corners = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]], float)
+    theirs = [(0, 1), (1, 2), (2, 0), (3, 0), (2, 3), (3, 1)]
+    points = [*corners, *((corners[a] + corners[b]) / 2 for a, b in theirs)]
+    text = "$MeshFormat\n2.2 0 8\n$EndMeshFormat\n$Nodes\n10\n" + "".join(f"{i + 1} {p[0]} {p[1]} {p[2]}\n" for i, p in enumerate(points))
+    got = FORMATS["gmsh"].read((text + "$EndNodes\n$Elements\n1\n1 11 2 0 0 " + " ".join(map(str, range(1, 11))) + "\n$EndElements\n").encode())
+    from lattica.celltypes import EDGES
+
+    nodes = got.cells[0][1]
+    for k, (a, b) in enumerate(EDGES["tetra"]):
+        assert np.allclose(got.points[nodes[4 + k]], (got.points[nodes[a]] + got.points[nodes[b]]) / 2)
+
+
 def test_wedges_in_decks():
     mesh = RawMesh([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1], [1, 0, 1], [0, 1, 1]], [("wedge", list(range(6)))])
     for name in ("lsdyna", "unv", "xdmf", "mfem", "nastran", "abaqus"):
