@@ -16,7 +16,6 @@ out; the sum of the conditional log-probabilities scores the document.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, map_rows, written
+from .common import SLICE, map_rows, plain_words, written
 
 WORDS, BUCKETS, CLASS = 4096, 256, 68
 RADIUS, WIDTH = 2, 24
@@ -37,14 +36,9 @@ BLOCK, CHUNK = 65_536, 4096
 #: Models summed by one task of the averaging tree, and distinct words counted at a time.
 FAN_IN, COUNTED = 16, 200_000
 
-_TOKENS = re.compile(r"[^\W_]+")
 OFFSETS = tuple(k for k in range(-RADIUS, RADIUS + 1) if k)
 
 
-def tokens_of(text: str | None) -> list[str]:
-    return _TOKENS.findall(text.lower()) if text else []
-
-
 def bucket(word: str) -> int:
     return xxhash.xxh32_intdigest(word[-2:]) % BUCKETS
 
@@ -64,7 +58,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 for text in batch.column("text").slice(i, SLICE).to_pylist():
-                    counts.update(tokens_of(text))
+                    counts.update(plain_words(text))
                     if len(counts) > COUNTED:
                         yield flush()
         yield flush()
@@ -244,7 +238,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         numbers = vocab.numbering()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [vocab.ids(tokens_of(t), numbers).astype("<i2").tobytes() for t in batch.column("text").to_pylist()]
+            ids = [vocab.ids(plain_words(t), numbers).astype("<i2").tobytes() for t in batch.column("text").to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
         return step
@@ -337,7 +331,7 @@ def score_ids(ids: list[np.ndarray], inside: np.ndarray, net: Network) -> tuple[
 
 
 def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    return score_ids([vocab.ids(tokens_of(t)) for t in texts], vocab.inside, net)
+    return score_ids([vocab.ids(plain_words(t)) for t in texts], vocab.inside, net)
 
 
 def score(tokens: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
