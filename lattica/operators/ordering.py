@@ -61,13 +61,30 @@ def with_hilbert(df: DataFrame) -> DataFrame:
     return out.withColumn("hilbert", code).drop(*names, "_t")
 
 
+def numbered(df: DataFrame, order: list[str], name: str, by: str = "mesh_id") -> DataFrame:
+    """``name``: the place of each row in its mesh by ``order``, from 0, without gathering a mesh in one task.
+
+    Rows are range-sorted and cut there; a row's number is its place in its
+    partition and the sizes of those before, less where its mesh begins. The
+    table of sizes has a row for each partition.
+    """
+    ranged = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    held = checkpointed(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = held.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("_at", F.col("_before") + F.col("_row"))
+    starts = placed.groupBy(by).agg(F.min("_at").alias("_start"), F.count(F.lit(1)).alias("_count"))
+    out = placed.join(starts, by).withColumn(name, (F.col("_at") - F.col("_start")).cast("bigint"))
+    return out.drop("_part", "_row", "_before", "_at", "_start").withColumnRenamed("_count", f"{name}_of")
+
+
 def partition_labels(df: DataFrame, key: str, curve: str, parts: int, weight: str | None = None) -> DataFrame:
     """``part``: equal runs (or runs of equal weight) along a curve, ties by ``key``."""
+    if weight is None:
+        placed = numbered(df, [curve, key], "_rank")
+        return placed.withColumn("part", F.floor(F.col("_rank") * parts / F.col("_rank_of")).cast("int")).drop("_rank", "_rank_of")
     w = Window.partitionBy("mesh_id")
     order = w.orderBy(curve, key)
-    if weight is None:
-        rank, n = F.row_number().over(order) - 1, F.count(F.lit(1)).over(w)
-        return df.withColumn("part", F.floor(rank * parts / n).cast("int"))
     before = F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     place = F.floor((before + F.col(weight) / 2) * parts / F.sum(weight).over(w))
     return df.withColumn("part", F.least(place, F.lit(parts - 1)).cast("int"))
@@ -134,5 +151,4 @@ def reorder(points: DataFrame, curve: str = "morton") -> DataFrame:
     """point_id and its new number along a curve."""
     q = quantised(points)
     keyed = with_hilbert(q).withColumnRenamed("hilbert", "_key") if curve == "hilbert" else q.withColumn("_key", morton(F.col("qx"), F.col("qy"), F.col("qz")))
-    number = F.row_number().over(Window.partitionBy("mesh_id").orderBy("_key", "point_id")) - 1
-    return keyed.select("mesh_id", "point_id", number.cast("bigint").alias("new_id"))
+    return numbered(keyed.select("mesh_id", "point_id", "_key"), ["_key", "point_id"], "new_id").select("mesh_id", "point_id", "new_id")

@@ -178,6 +178,19 @@ def test_hilbert_curve_moves_one_step_at_a_time(spark):
     assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for p, q in zip(order, order[1:], strict=False))
 
 
+def test_numbers_across_partitions(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(4)
+    rows = [(f"m{rng.randrange(3)}", k, rng.randrange(50)) for k in range(500)]
+    df = spark.createDataFrame(rows, "mesh_id string, point_id bigint, v int").repartition(7)
+    got = {(r.mesh_id, r.point_id): (r.n, r.n_of) for r in O.numbered(df, ["v", "point_id"], "n").collect()}
+    w = Window.partitionBy("mesh_id")
+    want = df.select("mesh_id", "point_id", F.row_number().over(w.orderBy("v", "point_id")) - 1, F.count(F.lit(1)).over(w)).collect()
+    assert got == {(r[0], r[1]): (r[2], r[3]) for r in want}
+    assert O.numbered(df.limit(0), ["v"], "n").count() == 0
+
+
 def test_farthest_points_are_greedy(spark):
     rows = scattered(60, 3)
     got = [r.point_id for r in O.farthest_points(cloud(spark, rows), 6, 0).orderBy("step").collect()]
