@@ -26,12 +26,18 @@ class MeshFrame:
     points: DataFrame
     cells: DataFrame
     regions: DataFrame | None = None
+    #: The incidence where a table already has it: it stands in for the exploded nodes until the cells change.
+    links: DataFrame | None = None
 
     def with_(self, **parts: DataFrame) -> MeshFrame:
+        if "cells" in parts:
+            parts = {"links": None} | parts
         return replace(self, **parts)
 
     def incidence(self) -> DataFrame:
         """mesh_id, cell_id, local and point_id of every node of every cell."""
+        if self.links is not None:
+            return self.links
         return self.cells.select(*CELL_KEYS, F.posexplode("nodes").alias("local", "point_id"))
 
     def with_corners(self, extra: list[str] | None = None) -> DataFrame:

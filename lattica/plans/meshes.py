@@ -25,7 +25,8 @@ def order_mesh(spark: SparkSession, sf_dir: str) -> MeshFrame:
         mesh, "cell_id", F.lit("polygon").alias("cell_type"), F.col("_n.l_partkey").alias("nodes"), "o_totalprice", "o_custkey", "o_orderstatus"
     )
     entry = lambda c: orders.select(mesh, F.lit("cell").alias("kind"), F.col(c).alias("name"), F.lit(2).alias("dim"), F.lit(0).cast("bigint").alias("tag"), F.col("o_orderkey").alias("entity"))
-    return MeshFrame(points, cells, entry("o_orderstatus").unionAll(entry("o_orderpriority")))
+    links = lines.select(mesh, F.col("l_orderkey").alias("cell_id"), F.col("l_linenumber").alias("local"), F.col("l_partkey").alias("point_id"))
+    return MeshFrame(points, cells, entry("o_orderstatus").unionAll(entry("o_orderpriority")), links)
 
 
 def lattice(spark: SparkSession, dims: tuple[int, ...] = (6, 5, 4)) -> MeshFrame:
