@@ -133,7 +133,8 @@ def lsm_dedup(
     )
     verified = held.join(keeper, "digest").withColumn("same", F.col("body") == F.col("keep_body"))
     group = F.when(F.col("same"), F.lit(None)).otherwise(F.col("body"))
-    judged = verified.select("doc_id", "digest", "length", group.alias("other"))
+    # cut here, so that the join is free to split a digest that very many rows share
+    judged = cut(verified.select("doc_id", "digest", "length", group.alias("other")))
     merged = judged.groupBy("digest", "other").agg(best("length", "doc_id").alias("best"), F.count(F.lit(1)).alias("size"))
     # Collisions only: rows whose digest has more than one text are joined by their text as well.
     apart = merged.where(F.col("other").isNotNull())
