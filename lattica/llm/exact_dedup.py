@@ -116,7 +116,8 @@ def lsm_dedup(
     rows = cut(entries(docs, digest))  # the only pass over all texts that normalises them
     path = f"{ensure_checkpoint_dir(spark)}/lsm-{uuid.uuid4().hex}"
     flush(rows, path, memtables)
-    index = compact(spark.read.schema("digest string, best struct<neg: bigint, none: boolean, doc_id: bigint>, n bigint, run int").parquet(path))
+    # cut here for the same reason as below: the join on the digest may then be split
+    index = cut(compact(spark.read.schema("digest string, best struct<neg: bigint, none: boolean, doc_id: bigint>, n bigint, run int").parquet(path)))
 
     # Hits: digests that several rows hold. Their texts, and no others but what
     # a filter of fixed size lets through, are normalised again and moved.
