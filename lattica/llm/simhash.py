@@ -272,7 +272,7 @@ def routes(docs: DataFrame, width: int, limit: int, least: int = LEAST, kept: in
 
     Keys are the ``least`` smallest hashes of the set of shingles, of those
     that other texts have too the ``kept`` rarest. Keys that over ``limit``
-    texts have (a licence, a quoted passage) count in pairs only: sets with
+    texts have (a licence, a quoted passage) count in pairs only, all of them: sets with
     four fifths in common share two of their least hashes in all but one case
     of ten thousand, while a common line seldom gives a text two of them. Texts
     of one shingle keep their single key.
@@ -302,7 +302,7 @@ def routes(docs: DataFrame, width: int, limit: int, least: int = LEAST, kept: in
     hot = shared.where(~usual).groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys")).where("size(keys) > 1")
     two = F.flatten(F.transform("keys", lambda x: F.transform(F.filter("keys", lambda y: y > x), lambda y: F.xxhash64(x, y))))
     pairs = counted(hot.select("doc_id", F.explode(two).alias("key")))
-    return rarest(shared.where(usual), kept).unionAll(rarest(pairs, 2 * kept)).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    return rarest(shared.where(usual), kept).unionAll(pairs.select("doc_id", "key")).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
 def near_links(docs: DataFrame, width: int, similarity: float, radius: int, limit: int) -> DataFrame:
@@ -333,21 +333,16 @@ def near_links(docs: DataFrame, width: int, similarity: float, radius: int, limi
             sets: list[np.ndarray] = []
             a: list[int] = []
             b: list[int] = []
-            crowded = table.num_rows > limit
             for part in table.to_batches(max_chunksize=256):
                 columns = [part.column(c).to_pylist() for c in ("doc_id", "fp", "members")]
                 for doc, fp, data in zip(*columns, strict=True):
                     fp &= 0xFFFFFFFFFFFFFFFF
                     own = np.frombuffer(data, np.uint32)
-                    if crowded and (leader := next((k for k in tree.find(fp, radius) if alike(sets[k], own, similarity)), None)) is not None:
-                        a.append(ids[leader])
-                        b.append(doc)
-                        continue
                     k = unions.add()
                     found = tree.add(fp, radius)
                     ids.append(doc)
                     sets.append(own)
-                    for other in found if not crowded else ():
+                    for other in found:
                         if unions.root(other) != unions.root(k) and alike(sets[other], own, similarity):
                             unions.join(other, k)
             for k, doc in enumerate(ids):
@@ -381,9 +376,7 @@ def near_duplicates(
 
     Linked are documents whose sets of ``width``-word shingles have a Jaccard
     similarity of at least ``similarity`` and whose fingerprints are within
-    ``radius``. In shards over ``limit`` a document that is alike to an earlier
-    one is linked to it and stands for nothing else there, which bounds the
-    memory of the task by the texts that differ.
+    ``radius``. Shards of any size link through every member.
 
     Null and empty texts are alike. Documents without an identifier are in no
     group. Other columns are ignored. No rows give no rows.

@@ -73,6 +73,24 @@ def test_near_duplicates_against_all_pairs(spark, limit):
     assert len(wrong) <= (0 if limit > 3 else 0.05 * len(sets))
 
 
+def crowd(n, seed, share):
+    """Copies of one text of 200 words, each with ``share`` of its words changed."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(200)]
+    return [(k, " ".join(f"x{rng.random()}" if rng.random() < share else w for w in base)) for k in range(n)]
+
+
+@pytest.mark.parametrize("rows", [variants(200, 2), variants(200, 5), crowd(300, 6, 0.018)])
+def test_crowded_shards_link_through_every_member(spark, rows):
+    got = {r[0]: r[1] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=3).collect()}
+    sets = {}
+    for d, t in rows:
+        w = words(t)
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    want = components(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert [d for d in sets if got.get(d, d) != want[d]] == []
+
+
 def test_tree_against_a_scan():
     rng = np.random.default_rng(0)
     values = [int(v) for v in rng.integers(0, 1 << 63, 300)]
