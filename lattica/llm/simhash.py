@@ -13,9 +13,9 @@ Shards are chosen so that linked fingerprints meet in at least one of them.
   over SHARD_LIMIT are dealt again: their other bits differ in at most R places
   too, so those are cut into R + 1 blocks in turn.
 * ``near_duplicates``: copies that share four fifths of their shingles may
-  differ in many more bits than blocks can bear. Shards are the smallest hashes
-  of the shingle sets, or pairs of them; the tree's radius is wide, and a link needs the shingle
-  sets themselves to be alike.
+  differ in many more bits than blocks can bear, and copies with a line
+  repeated in any number of them. Shards are the smallest hashes of the shingle
+  sets, or pairs of them, and the sets decide without fingerprints.
 
 Inside a shard, links are gathered by union-find and leave it as one edge for
 each fingerprint, never as all pairs.
@@ -36,10 +36,11 @@ from .components import connected_components
 
 BITS = 64
 SHARD_LIMIT = 2048
-#: Least hashes of a shingle set, how many of them deal a text to shards, and the tree's radius there.
+#: Least hashes of a shingle set, and how many of them deal a text to shards.
 LEAST = 8
 ROUTES = 4
-WIDE_RADIUS = 20
+#: Sets that are compared in pairs, without an index, and places of an index read at a time.
+FEW, INDEXED = 6, 1 << 20
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -262,11 +263,6 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3, limit:
 # Near-duplicates by similarity of the shingle sets
 
 
-def _signature(text: str, width: int) -> tuple[int, np.ndarray]:
-    hashes = shingle_hashes(text, width)
-    return signed(fingerprint(hashes)), np.unique(hashes)
-
-
 def routes(docs: DataFrame, width: int, limit: int, least: int = LEAST, kept: int = ROUTES) -> DataFrame:
     """(doc_id, keys): the shards of each text that shares one.
 
@@ -305,59 +301,99 @@ def routes(docs: DataFrame, width: int, limit: int, least: int = LEAST, kept: in
     return rarest(shared.where(usual), kept).unionAll(pairs.select("doc_id", "key")).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
-def near_links(docs: DataFrame, width: int, similarity: float, radius: int, limit: int) -> DataFrame:
+def near_links(docs: DataFrame, width: int, similarity: float, limit: int) -> DataFrame:
     """(a, b): documents whose sets of shingles are alike, each with the first of its local component."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [])
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("keys").to_pylist()
             for doc, own, text in zip(ids, keys, batch.column("text").to_pylist(), strict=True):
-                fp, members = _signature(text or "", width)
-                data = (members & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                data.sort()
+                data = np.unique(shingle_hashes(text or "", width).astype(np.uint32)).tobytes()
                 for key in own:
-                    for column, value in zip(out, (key, doc, fp, data.tobytes()), strict=True):
+                    for column, value in zip(out, (key, doc, data), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "doc_id", "fp", "members"]
-            )
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "doc_id", "members"])
 
         return step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["key"]):
-            tree, unions = BKTree(), Unions()
+            places: dict[bytes, int] = {}
             ids: list[int] = []
-            sets: list[np.ndarray] = []
             a: list[int] = []
             b: list[int] = []
             for part in table.to_batches(max_chunksize=256):
-                columns = [part.column(c).to_pylist() for c in ("doc_id", "fp", "members")]
-                for doc, fp, data in zip(*columns, strict=True):
-                    fp &= 0xFFFFFFFFFFFFFFFF
-                    own = np.frombuffer(data, np.uint32)
-                    k = unions.add()
-                    found = tree.add(fp, radius)
-                    ids.append(doc)
-                    sets.append(own)
-                    for other in found:
-                        if unions.root(other) != unions.root(k) and alike(sets[other], own, similarity):
-                            unions.join(other, k)
-            for k, doc in enumerate(ids):
-                if (r := unions.root(k)) != k:
+                for doc, data in zip(part.column("doc_id").to_pylist(), part.column("members").to_pylist(), strict=True):
+                    # equal sets are one node
+                    if (k := places.setdefault(data, len(ids))) < len(ids):
+                        a.append(ids[k])
+                        b.append(doc)
+                    else:
+                        ids.append(doc)
+            for k, r in enumerate(local_roots([np.frombuffer(x, np.uint32) for x in places], similarity)):
+                if r != k:
                     a.append(ids[r])
-                    b.append(doc)
+                    b.append(ids[k])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     routed = docs.join(routes(docs, width, limit), "doc_id")
-    members = map_rows(routed.select("doc_id", "keys", "text"), make, "key long, doc_id long, fp long, members binary")
+    members = map_rows(routed.select("doc_id", "keys", "text"), make, "key long, doc_id long, members binary")
     dealt = members.repartition("key").sortWithinPartitions("key", "doc_id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def local_roots(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each of the sorted sets, the first one that alike sets connect it to.
+
+    Sets are compared with all others by an index of their members, until those
+    that were not are all in one component, to which they can't add a link.
+    """
+    n = len(sets)
+    if n <= FEW:
+        unions = Unions()
+        for k in range(n):
+            unions.add()
+            for j in range(k):
+                if unions.root(j) != unions.root(k) and alike(sets[j], sets[k], similarity):
+                    unions.join(j, k)
+        return [unions.root(k) for k in range(n)]
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(codes, kind="stable")]
+    held = np.bincount(codes)
+    begins = np.cumsum(held) - held
+    roots = np.arange(n)
+    waiting = np.ones(n, bool)
+    while True:
+        left = np.flatnonzero(waiting)
+        if not len(left):
+            break
+        rest = left[roots[left] != np.bincount(roots[left]).argmax()]
+        if not len(rest):
+            break
+        k = int(rest[0])
+        waiting[k] = False
+        own = codes[starts[k] : starts[k + 1]]
+        both = np.zeros(n, np.int64)
+        ends = np.cumsum(held[own])
+        lo = 0
+        while lo < len(own):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + INDEXED, "right")))
+            part = own[lo:hi]
+            lengths = held[part]
+            shift = np.repeat(begins[part] - np.cumsum(lengths) + lengths, lengths)
+            both += np.bincount(holders[shift + np.arange(len(shift))], minlength=n)
+            lo = hi
+        found = np.unique(roots[both >= similarity * (sizes + sizes[k] - both)])
+        if len(found) > 1:
+            roots[np.isin(roots, found)] = found[0]
+    return roots.tolist()
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether the Jaccard similarity of two sorted sets is at least ``similarity``; empty sets are alike."""
     small, large = sorted((len(a), len(b)))
@@ -369,17 +405,14 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (small + large - both)
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, limit: int = SHARD_LIMIT
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, limit: int = SHARD_LIMIT) -> DataFrame:
     """(node, component) of every document that has a near-duplicate.
 
     Linked are documents whose sets of ``width``-word shingles have a Jaccard
-    similarity of at least ``similarity`` and whose fingerprints are within
-    ``radius``. Shards of any size link through every member.
+    similarity of at least ``similarity``. Shards of any size link through every member.
 
     Null and empty texts are alike. Documents without an identifier are in no
     group. Other columns are ignored. No rows give no rows.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return connected_components(near_links(rows, width, similarity, radius, limit))
+    return connected_components(near_links(rows, width, similarity, limit))

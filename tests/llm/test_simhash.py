@@ -91,6 +91,17 @@ def test_crowded_shards_link_through_every_member(spark, rows):
     assert [d for d in sets if got.get(d, d) != want[d]] == []
 
 
+def test_repeats_do_not_part_equal_sets(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(20):
+        text = " ".join(f"w{rng.randrange(4000)}" for _ in range(300))
+        line = " ".join(f"l{rng.randrange(4000)}" for _ in range(8))
+        rows += [(2 * k, f"{text} " + " ".join([line] * 2)), (2 * k + 1, f"{text} " + " ".join([line] * 60))]
+    got = {r[0]: r[1] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k in range(20) if got.get(2 * k + 1) != 2 * k] == []
+
+
 def test_tree_against_a_scan():
     rng = np.random.default_rng(0)
     values = [int(v) for v in rng.integers(0, 1 << 63, 300)]
