@@ -35,7 +35,7 @@ PATTERNS = {
 }
 _VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 LEAST_VALUE = 12
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 
 #: Alphabets in the order in which they are tried, with the least length at which the battery can tell.
 ALPHABETS = {

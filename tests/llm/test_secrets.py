@@ -23,6 +23,7 @@ def brute(text):
     return sorted(out)
 
 
+QUOTES = "\"'"
 KINDS = list(secrets.PATTERNS)
 
 
@@ -51,6 +52,17 @@ def test_random_keys_are_found_and_names_are_not(spark):
     assert sum(got[k] for k in range(60, 120)) == 0
 
 
+def test_random_keys_are_found_after_signs_and_quotes(spark):
+    rng = random.Random(5)
+    before = ["KEY=", "AccountKey=", "?sig=", "AWS_SECRET_ACCESS_KEY=", "key:", 'KEY="', "KEY='", "KEY= ", "key: "]
+    keys = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(20 * len(before))]
+    rows = [(k, f"le {before[k // 20]}{t}{before[k // 20][-1] if before[k // 20][-1] in QUOTES else ''} fin") for k, t in enumerate(keys)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = [t.index(keys[k]) for k, t in rows]
+    found = [f"random:{at[k]}:{at[k] + len(keys[k])}" in got[k] for k, _ in rows]
+    assert [b for n, b in enumerate(before) if sum(found[20 * n : 20 * n + 20]) < 17] == []
+
+
 def test_battery_against_plain_python(spark):
     import math
 
