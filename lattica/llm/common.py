@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import string
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,12 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows turned into Python objects at a time, which bounds a worker's memory.
 SLICE = 256
 
-#: Marks that part words: those of ASCII and the usual ones beyond.
-MARKS = string.punctuation + "“”„‘’‚«»‹›…–—·¿¡•、。，"
+#: Distinct marks of a text up to which they are replaced one after the other.
+FEW_MARKS = 64
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER_ASCII = str.maketrans(_UPPER, _UPPER.lower())
-_TO_SPACE = str.maketrans(dict.fromkeys(SPACES, " "))
+#: Of the ASCII characters, letters and digits stay and all others part words.
+_PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 0x20 for c in range(256))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +52,17 @@ def words_of(text: str) -> list[str]:
 
 
 def plain_words(text: str | None) -> list[str]:
-    """Words of the lower-cased text, parted by white space and MARKS."""
+    """Maximal runs of letters and digits, of any script, of the lower-cased text."""
     if not text:
         return []
     text = text.lower()
-    for c in MARKS:
-        if c in text:
-            text = text.replace(c, " ")
+    if text.isascii():
+        return text.encode().translate(_PLAIN).decode().split()
+    marks = [c for c in set(text) if not c.isalnum()]
+    if len(marks) > FEW_MARKS:
+        return text.translate(dict.fromkeys(map(ord, marks), " ")).split()
+    for c in marks:
+        text = text.replace(c, " ")
     return text.split()
 
 
@@ -84,14 +87,25 @@ def map_rows(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; a local one only where none is set."""
+    """The shared folder for cut lineage: that of ``spark.checkpoint.dir``, or one in the warehouse where it is unset."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+    return _ends_with_session(spark, sc._jsc.sc().getCheckpointDir().get())
+
+
+def _ends_with_session(spark: SparkSession, path: str) -> str:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the checkpoint folder; what is written there goes when the driver's process ends."""
+    return _ends_with_session(spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -102,7 +116,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read back."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,10 +8,15 @@ out; the sum of the conditional log-probabilities scores the document.
   words seen are equally likely.
 * The network adds one vector for each neighbour (by its place), takes the
   hyperbolic tangent, and predicts a class of tokens and the token inside it.
-* Training reads the windows around every STRIDE-th token of every document, so
-  it grows with the corpus. Each task runs stochastic gradient steps in numpy
-  over its own windows; the weights are averaged in a tree of tasks after each
-  round, so the driver receives a fixed number of models.
+* Every token of every document is the centre of one training window, in one of
+  ROUNDS rounds. Each task runs stochastic gradient steps in numpy over its own
+  windows; the weights are averaged in a tree of tasks after each round, as
+  whole numbers of 2^-AVERAGED, so that the order of adding changes nothing. The
+  driver receives a fixed number of models.
+* Scores take weights and hidden values in steps of 2^-STEP. Products and sums
+  of these are exact in single precision, whatever the shape of the block that
+  a token is scored in, and log-probabilities are summed in steps of 2^-SUMMED:
+  equal texts score alike to the last bit.
 """
 
 from __future__ import annotations
@@ -30,7 +35,10 @@ from .common import SLICE, map_rows, plain_words, written
 
 WORDS, BUCKETS, CLASS = 4096, 256, 68
 RADIUS, WIDTH = 2, 24
-STRIDE, ROUNDS, BATCH, RATE = 16, 2, 2048, 0.16
+ROUNDS, BATCH, RATE = 2, 8192, 0.16
+#: Binary places of averaged weights, of scoring weights (up to LARGEST) and hidden values, and of log-probabilities.
+AVERAGED, STEP, SUMMED = 16, 8, 20
+LARGEST = 8.0
 #: Tokens scored at a time, and rows of logits.
 BLOCK, CHUNK = 65_536, 4096
 #: Models summed by one task of the averaging tree, and distinct words counted at a time.
@@ -153,21 +161,34 @@ class Network:
             h += self.near[k][around[:, k]]
         return np.tanh(h)
 
+    def settled(self) -> Network:
+        """The network with the weights of scoring."""
+        net = Network(self.size, self.flat.copy())
+        for w in (net.out, net.inner):
+            np.clip(_stepped(w), -LARGEST, LARGEST, out=w)
+        return net
+
+    def by_class(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits inside the class of each row, which come by class; the classes that occur and where each begins."""
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        seen = group[first]
+        ends = np.append(first[1:], len(group))
+        logits = np.empty((len(h), CLASS), np.float32)
+        for c, lo, hi in zip(seen.tolist(), first.tolist(), ends.tolist(), strict=True):
+            np.matmul(h[lo:hi], self.inner[c], out=logits[lo:hi])
+        logits += self.inner_bias[group]
+        return logits, seen, np.append(first, len(group))
+
     def log_probabilities(self, around: np.ndarray, centre: np.ndarray) -> np.ndarray:
         """Of each centre, given the tokens around it; ``size`` stands for none."""
-        group, place = np.divmod(centre, CLASS)
-        h = np.empty((len(around), WIDTH), np.float32)
+        order = _order(centre // CLASS)
         out = np.empty(len(around))
-        for lo in range(0, len(around), CHUNK):
-            part = slice(lo, lo + CHUNK)
-            h[part] = self.hidden(around[part])
-            out[part] = _picked(h[part] @ self.out + self.out_bias, group[part])
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            for lo in range(cuts[c], cuts[c + 1], CHUNK):
-                own = order[lo : min(lo + CHUNK, cuts[c + 1])]
-                out[own] += _picked(h[own] @ self.inner[c] + self.inner_bias[c], place[own])
+        for lo in range(0, len(order), CHUNK):
+            part = order[lo : lo + CHUNK]
+            group, place = np.divmod(centre[part], CLASS)
+            h = _stepped(self.hidden(around[part]))
+            own = _picked(h @ self.out + self.out_bias, group).astype(np.float64)
+            out[part] = own + _picked(self.by_class(h, group)[0], place)
         return out
 
     def train(self, windows: np.ndarray, rate: float, squares: np.ndarray) -> None:
@@ -178,42 +199,55 @@ class Network:
             seen += grad * grad
             weight -= rate * grad / (np.sqrt(seen) + 1e-6)
 
-        centre_at = RADIUS
-        sides = [k for k in range(2 * RADIUS + 1) if k != centre_at]
+        sides = [k for k in range(2 * RADIUS + 1) if k != RADIUS]
         for lo in range(0, len(windows), BATCH):
-            part = windows[lo : lo + BATCH].astype(np.int64)
+            part = windows[lo : lo + BATCH]
+            part = part[_order(part[:, RADIUS])]
             n = len(part)
-            around, centre = part[:, sides], part[:, centre_at]
+            every = np.arange(n)
+            around = part[:, sides]
+            group, place = np.divmod(part[:, RADIUS], CLASS)
             h = self.hidden(around)
-            group, place = np.divmod(centre, CLASS)
             g = _softmax(h @ self.out + self.out_bias)
-            g[np.arange(n), group] -= 1
+            g[every, group] -= 1
             g /= n
             dh = g @ self.out.T
             move(self.out, adapted.out, h.T @ g)
             move(self.out_bias, adapted.out_bias, g.sum(0))
-            order = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-            for c in range(self.classes):
-                own = order[cuts[c] : cuts[c + 1]]
-                if len(own):
-                    g = _softmax(h[own] @ self.inner[c] + self.inner_bias[c])
-                    g[np.arange(len(own)), place[own]] -= 1
-                    g /= n
-                    dh[own] += g @ self.inner[c].T
-                    move(self.inner[c], adapted.inner[c], h[own].T @ g)
-                    move(self.inner_bias[c], adapted.inner_bias[c], g.sum(0))
+            g, seen, cuts = self.by_class(h, group)
+            g = _softmax(g)
+            g[every, place] -= 1
+            g /= n
+            grad = np.empty((len(seen), WIDTH, CLASS), np.float32)
+            for k, c in enumerate(seen.tolist()):
+                own = slice(cuts[k], cuts[k + 1])
+                dh[own] += g[own] @ self.inner[c].T
+                np.matmul(h[own].T, g[own], out=grad[k])
+            grads = ((self.inner, adapted.inner, grad), (self.inner_bias, adapted.inner_bias, np.add.reduceat(g, cuts[:-1], axis=0)))
+            for weight, squared, grad in grads:
+                squared[seen] += grad * grad
+                weight[seen] -= rate * grad / (np.sqrt(squared[seen]) + 1e-6)
             dh *= 1 - h * h
             move(self.bias, adapted.bias, dh.sum(0))
             for k in range(len(OFFSETS)):
-                order = np.argsort(around[:, k], kind="stable")
+                order = _order(around[:, k])
                 tokens = around[order, k]
                 first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
                 rows = tokens[first]
                 grad = np.add.reduceat(dh[order], first, axis=0)
-                seen = adapted.near[k][rows] + grad * grad
-                adapted.near[k][rows] = seen
-                self.near[k][rows] -= rate * grad / (np.sqrt(seen) + 1e-6)
+                squared = adapted.near[k][rows] + grad * grad
+                adapted.near[k][rows] = squared
+                self.near[k][rows] -= rate * grad / (np.sqrt(squared) + 1e-6)
+
+
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Places by identifier; short integers are sorted by their digits."""
+    return np.argsort(ids.astype(np.int16), kind="stable")
+
+
+def _stepped(x: np.ndarray) -> np.ndarray:
+    """``x`` rounded to steps of 2^-STEP."""
+    return np.rint(x * np.float32(1 << STEP)) * np.float32(2.0**-STEP)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -255,12 +289,12 @@ def padded(ids: list[np.ndarray], filler: int) -> tuple[np.ndarray, np.ndarray,
     return line, places, owner
 
 
-def training_windows(batch: pa.RecordBatch, filler: int) -> np.ndarray:
-    """Windows of 2 RADIUS + 1 tokens around every STRIDE-th token of each document, from a place that its identifier sets."""
+def training_windows(batch: pa.RecordBatch, filler: int, turn: int, turns: int) -> np.ndarray:
+    """Windows of 2 RADIUS + 1 tokens around the tokens of each document whose turn it is: every ``turns``-th one."""
     line, places, owner = padded(_arrays(batch), filler)
     starts = np.searchsorted(owner, owner)
-    phase = np.array([xxhash.xxh32_intdigest(str(d)) % STRIDE for d in batch.column("doc_id").to_pylist()], np.int64)
-    chosen = places[(np.arange(len(owner)) - starts + phase[owner]) % STRIDE == 0]
+    phase = np.array([xxhash.xxh32_intdigest(str(d)) for d in batch.column("doc_id").to_pylist()], np.int64)
+    chosen = places[(np.arange(len(owner)) - starts + phase[owner]) % turns == turn]
     return line[chosen[:, None] + np.arange(-RADIUS, RADIUS + 1)]
 
 
@@ -273,45 +307,50 @@ def fit(tokens: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
     net = Network.start(vocab.log_share)
     size = net.size
 
-    def local(flat: bytes, rate: float):
+    def local(flat: bytes, rate: float, turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Network(size, np.frombuffer(flat, np.float32).copy())
             squares = np.full(len(own.flat), 1e-6, np.float32)
             n = 0
             for batch in batches:
                 for i in range(0, batch.num_rows, SLICE):
-                    part = training_windows(batch.slice(i, SLICE), size)
+                    part = training_windows(batch.slice(i, SLICE), size, turn, rounds)
                     own.train(part, rate, squares)
                     n += len(part)
             if n:
-                yield _model_batch(own.flat * np.float32(n), n)
+                yield _model_batch(_whole(own.flat) * n, n)
 
         return run
 
     for k in range(rounds):
-        models = tokens.mapInArrow(local(net.flat.tobytes(), RATE / (k + 1)), "model binary, n long")
+        models = tokens.mapInArrow(local(net.flat.tobytes(), RATE / (k + 1), k), "model binary, n long")
         tasks = models.rdd.getNumPartitions()
         while tasks > FAN_IN:
             tasks = -(-tasks // FAN_IN)
             models = models.repartition(tasks).mapInArrow(_add_models, "model binary, n long")
-        total, n = np.zeros(len(net.flat)), 0
+        total, n = np.zeros(len(net.flat), np.int64), 0
         for r in models.collect():
-            total += np.frombuffer(r[0], np.float32)
+            total += np.frombuffer(r[0], np.int64)
             n += r[1]
         if n:
-            net = Network(size, (total / n).astype(np.float32))
-    return net
+            net = Network(size, (total / n / (1 << AVERAGED)).astype(np.float32))
+    return net.settled()
+
+
+def _whole(flat: np.ndarray) -> np.ndarray:
+    """Weights as whole numbers of 2^-AVERAGED; a biased class that never occurs is near -30, so sums of 2^40 tokens fit."""
+    return np.rint(flat * np.float64(1 << AVERAGED)).astype(np.int64)
 
 
-def _model_batch(flat: np.ndarray, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([flat.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["model", "n"])
+def _model_batch(total: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["model", "n"])
 
 
 def _add_models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = None, 0
     for batch in batches:
         for data, weight in zip(batch.column("model"), batch.column("n").to_pylist(), strict=True):
-            own = np.frombuffer(data.as_py(), np.float32)
+            own = np.frombuffer(data.as_py(), np.int64)
             total, n = own.copy() if total is None else total + own, n + weight
     if total is not None:
         yield _model_batch(total, n)
@@ -326,8 +365,8 @@ def score_ids(ids: list[np.ndarray], inside: np.ndarray, net: Network) -> tuple[
         part = places[lo : lo + BLOCK]
         centre = line[part]
         logs = net.log_probabilities(line[part[:, None] + shift], centre) + inside[centre]
-        sums += np.bincount(owner[lo : lo + BLOCK], logs, len(ids))
-    return np.bincount(owner, minlength=len(ids)), sums
+        sums += np.bincount(owner[lo : lo + BLOCK], np.rint(logs * (1 << SUMMED)), len(ids))
+    return np.bincount(owner, minlength=len(ids)), sums / (1 << SUMMED)
 
 
 def score_texts(texts: list[str | None], vocab: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:

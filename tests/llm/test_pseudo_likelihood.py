@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hostile import documents, empty
 
@@ -55,11 +57,32 @@ def test_counts_cover_every_word(spark):
     assert got == want
 
 
+def test_every_token_is_the_centre_of_one_window():
+    ids = [np.arange(k, k + n, dtype="<i2") for k, n in ((0, 7), (100, 1), (200, 0), (300, 30))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+    centres = np.concatenate([L.training_windows(batch, 999, k, 3)[:, L.RADIUS] for k in range(3)])
+    assert sorted(centres.tolist()) == np.concatenate(ids).tolist()
+
+
+def test_a_text_scores_alike_in_any_company(trained):
+    held, vocab, net = trained
+    texts = [r["text"] for r in held.limit(60).collect()]
+    alone = [L.score_texts([t], vocab, net)[1][0] for t in texts]
+    assert L.score_texts(texts, vocab, net)[1].tolist() == alone
+    assert L.score_texts(texts[::-1], vocab, net)[1].tolist() == alone[::-1]
+
+
+def test_words_are_runs_of_letters_and_digits():
+    texts = ["The cat; sat_on ½ THE mat☆☆ don't", "☆☆ ¿? — …", "Größe 3,5 日本語。中文", "a" * 300 + "".join(map(chr, range(0x2000, 0x2100))) + "b c"]
+    for t in texts:
+        assert plain_words(t) == re.findall(r"[^\W_]+", t.lower())
+
+
 def test_averaging_tree_adds_all_models():
-    flat = np.arange(5, dtype=np.float32)
+    flat = np.arange(5)
     batches = [L._model_batch(flat * k, k) for k in (1, 2, 3)]
     out = next(L._add_models(iter(batches)))
-    assert np.allclose(np.frombuffer(out.column(0)[0].as_py(), np.float32), flat * 6) and out.column(1)[0].as_py() == 6
+    assert np.array_equal(np.frombuffer(out.column(0)[0].as_py(), np.int64), flat * 6) and out.column(1)[0].as_py() == 6
 
 
 def test_hostile_documents(spark):
