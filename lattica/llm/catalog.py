@@ -7,74 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality
 from .common import documents
+from .decontamination import find_leaks
+from .exact_dedup import lsm_dedup
+from .language_id import fold
+from .mixing import mix
+from .pii import find_pii
+from .pseudo_likelihood import pseudo_likelihood
+from .secrets import find_secrets
+from .simhash import simhash_components
+from .substring_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import find_pii
-
     return find_pii(documents(spark, sf_dir))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
-
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontamination import find_leaks
-
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import simhash_components
-
     return simhash_components(documents(spark, sf_dir))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .exact_dedup import lsm_dedup
-
     return lsm_dedup(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import find_secrets
-
     return find_secrets(documents(spark, sf_dir))
 
 
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pseudo_likelihood import pseudo_likelihood
-
     return pseudo_likelihood(documents(spark, sf_dir))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import remove_repeats
-
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language_id import fold, identify, learn
-
     docs = documents(spark, sf_dir)
-    found = identify(docs, learn(docs, fold(4) == 2))
-    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "margin")
+    found = language_id.identify(docs, language_id.learn(docs, fold(4) == 2))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language_id import fold
-    from .quality import learn, score
-
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     docs = documents(spark, sf_dir)
-    found = score(docs, learn(docs, labels.where(fold(5) != 0)))
+    found = quality.score(docs, quality.learn(docs, labels.where(fold(5) != 0)))
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 

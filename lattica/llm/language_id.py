@@ -23,8 +23,8 @@ from .common import map_rows
 
 #: The bounded sample the dictionaries are cut from: documents of each language, by hash order.
 SAMPLE_DOCS = 256
-#: Letters taken from each sampled document, and bytes of a dictionary.
-SAMPLE_LETTERS = 1024
+#: Letters of a segment of a sampled document, segments taken from all over it, and bytes of a dictionary.
+SEGMENT, SEGMENTS = 256, 32
 DICTIONARY_BYTES = 1 << 16
 #: Bytes encoded at a time: every part of a long text weighs the same.
 BLOCK_BYTES = 4096
@@ -37,47 +37,98 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-
-
-def sample(labelled: DataFrame, docs_each: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """At most ``docs_each`` texts of each language, those whose ids hash lowest.
+    """The lower-cased text with each run of anything but letters (Unicode category L) as one space."""
+    if not text:
+        return ""
+    text = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    # numbers such as fractions and Roman numerals are word characters, but not letters
+    if not text.isascii() and (odd := [c for c in set(text) if c != " " and not c.isalpha()]):
+        text = " ".join(text.translate(dict.fromkeys(map(ord, odd), " ")).split(" "))
+        text = re.sub(" +", " ", text).strip()
+    return text
+
+
+def segments(text: str) -> list[str]:
+    """At most SEGMENTS pieces of SEGMENT letters, evenly spaced over the lines of the whole text."""
+    found = []
+    for line in text.split("\n"):
+        own = letters(line)
+        found += [own[i : i + SEGMENT] for i in range(0, len(own), SEGMENT)]
+    if len(found) > SEGMENTS:
+        found = [found[k * len(found) // SEGMENTS] for k in range(SEGMENTS)]
+    return found
+
+
+def sample(labelled: DataFrame, docs_each: int = SAMPLE_DOCS) -> dict[str, list[list[str]]]:
+    """The segments of at most ``docs_each`` documents of each language, those whose ids hash lowest.
 
     Only ids and labels are ranked (each task keeps its lowest before the
-    shuffle); texts of the few chosen rows are fetched by a broadcast of their
-    ids, at most languages x ``docs_each``.
+    shuffle); the few chosen texts are cut to segments where they are read, so
+    the driver gets at most languages x ``docs_each`` x SEGMENTS x SEGMENT
+    letters. Of rows that repeat an id, one is taken.
     """
-    rows = labelled.where("lang is not null and text is not null")
+    rows = labelled.where("lang is not null and text is not null and doc_id is not null")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        rows.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_each)
-    ).select("lang", "doc_id")
-    texts = rows.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
-    out: dict[str, list[str]] = {}
-    for r in texts.orderBy("lang", "doc_id", "text").collect():
+    ids = rows.select("lang", "doc_id").distinct()
+    chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_each).select("lang", "doc_id")
+    texts = rows.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            cut = [segments(t) for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(cut, pa.list_(pa.string()))], ["lang", "doc_id", "segments"])
+
+        return step
+
+    pieces = map_rows(texts.select("lang", "doc_id", "text"), make, "lang string, doc_id long, segments array<string>")
+    out: dict[str, list[list[str]]] = {}
+    for r in pieces.groupBy("lang", "doc_id").agg(F.min("segments").alias("segments")).orderBy("lang", "doc_id").collect():
         out.setdefault(r[0], []).append(r[2])
     return out
 
 
-def dictionaries(texts: dict[str, list[str]], rows: dict[str, int] | None = None) -> list[tuple[str, bytes]]:
+def shares(lengths: list[int], room: int) -> list[int]:
+    """How much each gets of ``room``: as much as it wants, or an equal part of what the smaller ones leave."""
+    out = [0] * len(lengths)
+    order = sorted(range(len(lengths)), key=lambda k: lengths[k])
+    for rank, k in enumerate(order):
+        out[k] = min(lengths[k], room // (len(order) - rank))
+        room -= out[k]
+    return out
+
+
+def dictionaries(texts: dict[str, list[list[str]]], rows: dict[str, int] | None = None) -> list[tuple[str, bytes]]:
     """(language, raw content), the language with most labelled rows first.
 
-    Lines that stand in several sampled texts (licences, site furniture) say
-    nothing about the language and are left out.
+    The segments of every sampled document share DICTIONARY_BYTES evenly.
+    Segments that stand in several languages (licences, site furniture) say
+    nothing and are left out; of those that one language repeats one is kept.
     """
-    lines = Counter(x for ts in texts.values() for t in ts for x in {letters(y) for y in t.split("\n")})
+    languages = Counter(x for ts in texts.values() for x in {x for t in ts for x in t})
     out = []
     for lang, ts in texts.items():
+        seen: set[str] = set()
         parts = []
         for t in ts:
-            own = " ".join(x for x in (letters(y) for y in t.split("\n")) if x and lines[x] == 1)
-            parts.append(own[:SAMPLE_LETTERS])
-        content = " ".join(x for x in parts if x).encode()[-DICTIONARY_BYTES:]
+            own = [x for x in dict.fromkeys(t) if languages[x] == 1 and x not in seen]
+            seen.update(own)
+            parts.append(own)
+        # one byte of each share is the space between documents
+        room = shares([sum(len(x.encode()) + 1 for x in p) for p in parts], DICTIONARY_BYTES)
+        content = b" ".join(x for p, n in zip(parts, room, strict=True) if (x := _spread(p, n - 1)))
         if content:
             out.append((-(rows or {}).get(lang, 0), lang, content))
     return [(lang, content) for _, lang, content in sorted(out)]
 
 
+def _spread(parts: list[str], room: int) -> bytes:
+    """``room`` bytes of the parts, a share from the start of each."""
+    data = [p.encode() for p in parts]
+    cut = [d[:n] for d, n in zip(data, shares([len(d) for d in data], room - len(data)), strict=True)] if room > len(data) else []
+    return b" ".join(c for c in cut if c)
+
+
 def compressors(dicts: list[tuple[str, bytes]]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     out = []
     for lang, content in dicts:
@@ -166,7 +217,7 @@ def fold(modulus: int) -> Column:
 
 
 def learn(docs: DataFrame, held_out: Column | None = None) -> list[tuple[str, bytes]]:
-    """Dictionaries from the rows of ``docs`` that are not held out."""
+    """Dictionaries from the rows of ``docs`` that are not held out; rows without text, label or identifier teach nothing."""
     rows = docs.select("doc_id", "text", "lang")
     if held_out is not None:
         rows = rows.where(~held_out)

@@ -1,7 +1,9 @@
+import unicodedata
+
 from hostile import documents, empty
 from pyspark.sql import functions as F
 
-from lattica.llm.language_id import classify, compressors, dictionaries, fold, identify, keep_identified, learn, letters
+from lattica.llm.language_id import SEGMENT, SEGMENTS, classify, compressors, dictionaries, fold, identify, keep_identified, learn, letters, segments, shares
 
 
 def test_held_out_accuracy(spark):
@@ -14,7 +16,7 @@ def test_held_out_accuracy(spark):
 def test_smallest_encoding_wins():
     import zstandard
 
-    dicts = dictionaries({"a": ["lorem ipsum dolor sit amet " * 9], "b": ["the quick brown fox jumps " * 9]})
+    dicts = dictionaries({"a": [["lorem ipsum dolor sit amet " * 9]], "b": [["the quick brown fox jumps " * 9]]})
     models = compressors(dicts)
     text = "The QUICK brown fox; the quick fox jumps!"
     sizes = {}
@@ -27,6 +29,33 @@ def test_smallest_encoding_wins():
     assert margin == (max(sizes.values()) - min(sizes.values())) / min(sizes.values())
 
 
+def test_letters_are_of_category_l():
+    text = "Ab½ ² Ⅷ c_d 日本 3x²y e\u0301 ☆"
+    want = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+    assert letters(text).split() == want
+    assert letters("½ ² Ⅷ") == "" and classify("½ ² Ⅷ", compressors([("a", b"some words")]))[0] == "und"
+
+
+def test_segments_come_from_all_over_a_text():
+    text = "\n".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)} " * 200 for k in range(200))
+    found = segments(text)
+    assert len(found) == SEGMENTS and max(map(len, found)) <= SEGMENT
+    firsts = [x[:2] for x in found]
+    assert firsts[0] == "aa" and firsts == sorted(firsts) and firsts[-1] > "gg"
+
+
+def test_every_sampled_document_has_its_share():
+    assert shares([10, 3, 100, 50], 100) == [10, 3, 44, 43] and shares([], 5) == [] and shares([9, 9], 5) == [2, 3]
+    words = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    (_, content), = dictionaries({"x": [[f"{w}q " * 60 for _ in range(3)] for w in words]})
+    assert all(f"{w}q".encode() in content for w in words) and len(content) <= 1 << 16
+
+
+def test_a_repeated_line_is_kept_once_and_shared_ones_are_not():
+    (_, content), (_, other) = dictionaries({"x": [["same line"], ["same line", "in both"]], "y": [["in both", "own"]]})
+    assert content == b"same line" and other == b"own"
+
+
 def test_hostile_documents(spark):
     docs = documents(spark, ["der die das und nicht " * 30])
     got = {r["doc_id"]: r for r in identify(docs, learn(docs)).collect()}
