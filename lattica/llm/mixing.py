@@ -21,6 +21,8 @@ then inside a slice), so that a source with a third of all rows is not one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,36 +88,22 @@ def position(share_done: Column, slope: Column) -> Column:
     return F.when(share_done <= 0, F.lit(0.0)).otherwise(F.lit(2.0) * share_done / (rest + root))
 
 
-def places(
-    docs: DataFrame,
-    weights: tuple[float, ...] = WEIGHTS,
-    share: float = SHARE,
-    cap: float = CAP,
-    slopes: tuple[float, ...] = SLOPES,
-    seed: str = "mix",
+def _readings(
+    docs: DataFrame, carried: list[Column], weights: tuple[float, ...], share: float, cap: float, slopes: tuple[float, ...], seed: str
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, first, again, taken and the positions of each row.
-
-    ``taken`` counts the words that the mix takes of the document, with
-    repeats: a source's documents are read in the order of their digests, again
-    from the start after the last, until its target is reached; the document at
-    the end gives the rest. ``first`` and ``again`` are the words taken in the
-    first and second reading, and ``position`` and ``position_again`` the
-    training times at which these start, null where nothing is taken.
+    """``carried``, doc_id, size, source_size, target, taken and readings of each row of ``docs``.
 
-    Null text has size 0. A null source is a source of its own, the last. Rows
-    that repeat an identifier follow one another in no defined order. Other
-    columns are ignored, whatever their names. No rows give no rows.
+    ``readings`` has one (words, position) for each time that the document may
+    be read, at most ``cap`` times rounded up: a source's documents are read in
+    the order of their digests, again from the start after the last, until its
+    target is reached.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        size_of().alias("size"),
-        digest.alias("digest"),
-    ).withColumn("slice", F.substring("digest", 1, SLICE_DIGITS))
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    keys = [doc_id.alias("doc_id"), source.alias("source"), size_of().alias("size"), digest.alias("digest"), F.xxhash64(text_of()).alias("text_hash")]
+    piece = F.substring("digest", 1, SLICE_DIGITS)
     # At most sources x 16^SLICE_DIGITS rows, combined before they are shuffled.
-    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    slices = docs.select(*keys[:4]).groupBy("source", piece.alias("slice")).agg(F.sum("size").alias("slice_size"))
     sources = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     targets = source_targets(sources, weights, share, cap).withColumnRenamed("source", "t_source")
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,57 +115,79 @@ def places(
         )
     )
     inside = (
-        Window.partitionBy("source", "slice").orderBy("digest", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("source", "slice").orderBy("digest", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     )
     start = F.col("slice_start") + F.col("slice_offset")
     whole = F.round(F.col("target")).cast("long")
-    first = F.least(F.greatest(whole - start, F.lit(0)), F.col("size"))
-    again = F.least(F.greatest(whole - F.col("source_size") - start, F.lit(0)), F.col("size"))
     slope = _turn(slopes, F.col("rank"))
+
+    def reading(k: int) -> Column:
+        begin = start + F.lit(k) * F.col("source_size")
+        words = F.least(F.greatest(whole - begin, F.lit(0)), F.col("size")).cast("long")
+        return F.struct(words.alias("words"), F.when(words > 0, position(begin / F.col("target"), slope)).alias("position"))
+
     return (
-        sized.withColumn("slice_offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        docs.select(*keys, *carried)
+        .withColumn("slice", piece)
+        .withColumn("slice_offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(placed, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice")))
-        .select(
-            "doc_id",
-            "source",
-            "size",
-            "source_size",
-            "target",
-            first.cast("long").alias("first"),
-            again.cast("long").alias("again"),
-            (first + again).cast("long").alias("taken"),
-            F.when(first > 0, position(start / F.col("target"), slope)).alias("position"),
-            F.when(again > 0, position((start + F.col("source_size")) / F.col("target"), slope)).alias("position_again"),
-        )
+        .withColumn("readings", F.array(*[reading(k) for k in range(math.ceil(cap))]))
+        .withColumn("taken", F.aggregate("readings", F.lit(0).cast("long"), lambda n, r: n + r["words"]))
     )
 
 
+def places(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    cap: float = CAP,
+    slopes: tuple[float, ...] = SLOPES,
+    seed: str = "mix",
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, position and readings of each row.
+
+    ``taken`` counts the words that the mix takes of the document, with
+    repeats; the document at which the target is reached gives the rest.
+    ``readings`` has the words and the training time of each reading, at most
+    ``cap`` of them rounded up, and ``position`` is the time of the first, null
+    where nothing is taken.
+
+    Null text has size 0. A null source is a source of its own, the last. Rows
+    that repeat an identifier follow one another by a hash of their text, and
+    rows that repeat that as well are alike. Other columns are ignored,
+    whatever their names. No rows give no rows.
+    """
+    found = _readings(docs, [], weights, share, cap, slopes, seed)
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken", F.col("readings")[0]["position"].alias("position"), "readings")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``places`` range-sorted by position, those that are not taken first."""
     return places(docs, **options).orderBy("position", "doc_id")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    cap: float = CAP,
+    slopes: tuple[float, ...] = SLOPES,
+    seed: str = "mix",
+) -> DataFrame:
     """The rows of ``docs`` as they are trained on, with all their columns, range-sorted by position.
 
-    A document that is read twice comes twice. Added are ``copy`` (0 or 1),
+    A document that is read twice comes twice. Added are ``copy`` (0, 1, ...),
     ``words`` (how many of its words are read then) and ``position``, with
-    underscores before the names where ``docs`` has such columns. Rows without
-    an identifier are left out. Identifiers must be unique.
+    underscores before the names where ``docs`` has such columns. The rows are
+    carried along, not joined by their identifiers: rows that repeat one, and
+    rows without one, are documents of their own, as in ``places``.
     """
-    key, copies = free_name(docs, "mix_doc_id"), free_name(docs, "mix_copies")
     names = [free_name(docs, n) for n in ("copy", "words", "position")]
-
-    def one(copy: int, words: str, at: str) -> Column:
-        return F.struct(F.lit(copy).alias(names[0]), F.col(words).alias(names[1]), F.col(at).alias(names[2]))
-
-    both = F.array(one(0, "first", "position"), one(1, "again", "position_again"))
-    taken = places(docs, **options).select(
-        F.col("doc_id").alias(key), F.filter(both, lambda c: c[names[1]] > 0).alias(copies)
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = _readings(docs, [row], weights, share, cap, slopes, seed)
     return (
-        docs.join(taken, F.col("doc_id") == F.col(key))
-        .select(*docs.columns, F.explode(copies).alias(copies))
-        .select(*docs.columns, *[F.col(f"`{copies}`.`{n}`").alias(n) for n in names])
+        found.select("row", F.posexplode("readings").alias("copy", "reading"))
+        .where("reading.words > 0")
+        .select("row.*", *[F.col(c).alias(n) for c, n in zip(("copy", "reading.words", "reading.position"), names, strict=True)])
         .orderBy(names[2], "doc_id")
     )

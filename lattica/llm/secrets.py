@@ -13,19 +13,28 @@ three tests:
 * serial correlation: neighbours are independent.
 
 The three p-values are combined by Fisher's method. Words, paths and numbers
-fail; keys do not. Who fails is decided for the whole corpus at a controlled
-false-discovery rate (Benjamini and Hochberg), apart for each encoding and band
-of length, since the power of the tests depends on both. What is not found to
-be non-random, and is long enough for its encoding, is added where it overlaps
-no base span.
+fail; keys do not. The line is drawn for the whole corpus, apart for each
+encoding and band of length, since the power of the tests depends on both, and
+it controls both errors:
+
+* candidates found non-random are so at a false-discovery rate of RATE
+  (Benjamini and Hochberg), which bounds the keys that are lost;
+* the p-values of random keys are even between 0 and 1, so those above 1/2
+  tell how many keys there are (Storey). At a line t, a share 1 - t of them is
+  reported, and what is reported beyond that is not random. The line rises
+  until that is at most RATE of all that is reported, which bounds false alarms.
+
+What is above the line is added where it overlaps no base span.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 #: Fixed patterns by kind, in the order in which kinds are listed, and the least length they need.
 PATTERNS = {
@@ -35,18 +44,22 @@ PATTERNS = {
 }
 _VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 LEAST_VALUE = 12
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+#: The least length at which the battery has any power; shorter keys are for the fixed patterns.
+LEAST_KEY = 20
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_KEY},}}+={{0,2}}+(?![A-Za-z0-9+/_=-])"
 
-#: Alphabets in the order in which they are tried, with the least length at which the battery can tell.
+#: Alphabets in the order in which they are tried.
 ALPHABETS = {
-    "hex": ("0123456789abcdef", 32),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 26),
-    "base58": ("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", 24),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24),
-    "base64url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 24),
+    "hex": "0123456789abcdef",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 #: Bins of p on a log scale, BINS_EACH to a power of ten down to 10^-FLOOR, and the false-discovery rate.
 BINS_EACH, FLOOR, RATE = 20, 30, 0.05
+#: Matches whose places are added up at a time.
+CHUNK = 64
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -57,19 +70,26 @@ def spans(text: Column, pattern: str) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    one = "struct<start:int,end:int,hit:string>"
+    empty = F.array().cast(f"array<{one}>")
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.char_length(pair["gap"])
         end = begin + F.char_length(pair["hit"])
-        one = F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        found = F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
+
+    def chunk(acc: Column, pairs: Column) -> Column:
+        part = F.aggregate(pairs, F.struct(acc["at"].alias("at"), empty.alias("found")), step)
+        return F.struct(part["at"].alias("at"), F.concat(acc["found"], F.array(part["found"])).alias("found"))
 
+    # in chunks, so that a text of very many matches does not copy all of them for each
     pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(
-        empty
-    )
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1)), F.lit(CHUNK))
+    chunks = F.transform(firsts, lambda k: F.slice(pairs, k, F.lit(CHUNK)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{one}>>").alias("found"))
+    all_found = F.flatten(F.aggregate(chunks, start, chunk, lambda acc: acc["found"]))
+    return F.when(F.regexp_like(text, F.lit(pattern)), all_found).otherwise(empty)
 
 
 def tail(z: Column) -> Column:
@@ -94,10 +114,9 @@ def encoding(key: Column) -> Column:
     mixed case look as random as short keys do.
     """
     out = F.lit(None).cast("string")
-    for name, (alphabet, least) in reversed(ALPHABETS.items()):
+    for name, alphabet in reversed(ALPHABETS.items()):
         # what is left of the key without the alphabet's characters
-        left = F.translate(key, alphabet, "")
-        out = F.when((left == "") & (F.length(key) >= least), F.lit(name)).otherwise(out)
+        out = F.when(F.translate(key, alphabet, "") == "", F.lit(name)).otherwise(out)
     return F.when(key.rlike("[0-9]") & key.rlike("[A-Za-z]"), out)
 
 
@@ -118,7 +137,7 @@ def with_fields(found: Column, make) -> Column:
 
 def _prepared(c: Column) -> dict[str, Column]:
     alphabet = F.lit(None).cast("string")
-    for name, (letters, _) in ALPHABETS.items():
+    for name, letters in ALPHABETS.items():
         alphabet = F.when(c["encoding"] == name, F.lit(letters)).otherwise(alphabet)
     return {"alphabet": alphabet, "n": F.length(c["key"]).cast("double")}
 
@@ -185,7 +204,7 @@ def _binned(c: Column) -> Column:
 def candidates(text: Column) -> Column:
     """array<struct<start, end, encoding, band, bin>> of the runs that may be keys.
 
-    ``bin`` is the p-value on a log scale, ``band`` the length doubled from 16.
+    ``bin`` is the p-value on a log scale, ``band`` the length doubled from 16 (20 to 31, 32 to 63, ...).
     """
 
     def judged(hit: Column) -> Column:
@@ -199,22 +218,44 @@ def candidates(text: Column) -> Column:
 
 
 def cutoffs(rows: DataFrame, rate: float = RATE) -> dict[tuple[str, int], int]:
-    """The bin from which on a candidate is not random, for each encoding and band that has one.
+    """The bin from which on a candidate is not reported, for each encoding and band.
 
     ``rows`` has the array ``candidates``. The histogram has at most encodings
-    x bands x bins rows, whatever the input, and so has what is collected less.
+    x bands x bins rows, whatever the input, and is all that is collected.
     """
     counts = (
         rows.select(F.explode("candidates").alias("c"))
         .groupBy(F.col("c.encoding").alias("encoding"), F.col("c.band").alias("band"), F.col("c.bin").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    group = Window.partitionBy("encoding", "band")
-    ranked = counts.withColumn("rank", F.sum("n").over(group.orderBy(F.col("bin").desc()))).withColumn(
-        "all", F.sum("n").over(group)
-    )
-    found = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / BINS_EACH) <= rate * F.col("rank") / F.col("all"))
-    return {(r[0], r[1]): r[2] for r in found.groupBy("encoding", "band").agg(F.min("bin")).collect()}
+    cells: dict[tuple[str, int], dict[int, int]] = {}
+    for name, band, at, n in counts.collect():
+        cells.setdefault((name, band), {})[at] = n
+    return {cell: line(histogram, rate) for cell, histogram in cells.items()}
+
+
+def line(histogram: dict[int, int], rate: float = RATE) -> int:
+    """The first bin that is not reported, from the number of candidates in each bin of p."""
+    upper = lambda b: 10.0 ** (-b / BINS_EACH)
+    total = sum(histogram.values())
+    worst_first = sorted(histogram, reverse=True)
+    # Benjamini and Hochberg: the largest p at which enough candidates are as small
+    out, so_far = FLOOR * BINS_EACH + 1, 0
+    for b in worst_first:
+        so_far += histogram[b]
+        if upper(b) <= rate * so_far / total:
+            out = b
+    # Storey: keys are twice the candidates above 1/2, one more than seen, so that few candidates are not judged by chance
+    half = math.log10(2) * BINS_EACH
+    keys = 2 * (sum(n for b, n in histogram.items() if b + 1 <= half) + 1)
+    reported = sum(n for b, n in histogram.items() if b < out)
+    for b in worst_first:
+        if b >= out:
+            continue
+        if reported - keys * (1 - upper(b + 1)) <= rate * reported:
+            break
+        out, reported = b, reported - histogram[b]
+    return out
 
 
 def ranked(found: Column, rank: int) -> Column:
@@ -250,16 +291,17 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     Columns other than doc_id and text are not read. No rows give no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("body"))
-    limits = cutoffs(texts.select(candidates(F.col("body")).alias("candidates")), rate)
-    at = F.lit(FLOOR * BINS_EACH + 1)
+    # the only pass over the texts; what it leaves is small
+    found = written(texts.select("doc_id", base(F.col("body")).alias("base"), candidates(F.col("body")).alias("candidates")), "candidates")
+    limits = cutoffs(found, rate)
+    limit = F.lit(FLOOR * BINS_EACH + 1)
 
     def random_enough(c: Column) -> Column:
-        limit = at
+        out = limit
         for (name, band), b in sorted(limits.items()):
-            limit = F.when((c["encoding"] == name) & (c["band"] == band), F.lit(b)).otherwise(limit)
-        return c["bin"] < limit
+            out = F.when((c["encoding"] == name) & (c["band"] == band), F.lit(b)).otherwise(out)
+        return c["bin"] < out
 
-    found = texts.select("doc_id", base(F.col("body")).alias("base"), candidates(F.col("body")).alias("candidates"))
     free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     added = ranked(F.filter("candidates", lambda c: random_enough(c) & free(c)), len(PATTERNS))
     count = lambda r: F.size(F.filter("base", lambda b: b["rank"] == r)).cast("long")

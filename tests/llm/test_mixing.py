@@ -36,6 +36,24 @@ def test_targets_and_taken_words(spark):
     assert at == sorted(at) and all(0 <= p <= 1 for p in at)
 
 
+def test_sources_are_read_as_often_as_the_cap_allows(spark):
+    rows = [(k, "w w w", "a" if k < 4 else "b") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs, weights=(9.0, 1.0), share=1.2, cap=3.5).collect()
+    a = [r for r in got if r["source"] == "a"]
+    want = targets({"a": 12, "b": 24}, (9, 1), 1.2, 3.5)
+    assert want["a"] > 24 and sum(r["taken"] for r in a) == round(want["a"]) and max(r["taken"] for r in a) <= 12
+    full = mixed_documents(docs, weights=(9.0, 1.0), share=1.2, cap=3.5).collect()
+    assert sum(r["words"] for r in full if r["source"] == "a") == round(want["a"]) and {r["copy"] for r in full} >= {0, 1, 2}
+
+
+def test_rows_that_share_an_identifier_keep_an_order(spark):
+    rows = [(1, "w " * (k + 1), "a") for k in range(9)] + [(2, "x", "b")]
+    df = lambda r: spark.createDataFrame(r, "doc_id long, text string, source string").repartition(3)
+    same = lambda r: sorted(str((x["doc_id"], x["size"], x["taken"], x["position"])) for x in mix(df(r), share=0.7).collect())
+    assert same(rows) == same(rows[::-1])
+
+
 def test_position_inverts_the_schedule(spark):
     from pyspark.sql import functions as F
 

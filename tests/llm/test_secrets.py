@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -63,13 +64,34 @@ def test_random_keys_are_found_after_signs_and_quotes(spark):
     assert [b for n, b in enumerate(before) if sum(found[20 * n : 20 * n + 20]) < 17] == []
 
 
-def test_battery_against_plain_python(spark):
-    import math
+def test_places_of_very_many_matches(spark):
+    n = 5 * secrets.CHUNK + 7
+    got = secrets.find_secrets(spark.createDataFrame([(1, "é " + "0123456789abcdef " * n)], "doc_id long, text string")).first()
+    assert got["n_hex"] == n
+    assert got["spans"] == ",".join(f"hex:{2 + 17 * k}:{18 + 17 * k}" for k in range(n))
+
+
+def test_line_bounds_lost_keys_and_false_alarms():
+    rng = random.Random(6)
+    binned = lambda p: min(int(-math.log10(max(p, 1e-30)) * secrets.BINS_EACH), secrets.FLOOR * secrets.BINS_EACH)
+    for words in (0, 200, 2000):
+        keys = [binned(rng.random()) for _ in range(1000)]
+        text = [binned(10 ** -rng.uniform(0.5, 12)) for _ in range(words)]
+        histogram = {}
+        for b in keys + text:
+            histogram[b] = histogram.get(b, 0) + 1
+        at = secrets.line(histogram)
+        told, wrong = sum(b < at for b in keys), sum(b < at for b in text)
+        assert wrong <= 0.1 * (told + wrong), (words, told, wrong)
+        assert told >= (990 if words == 0 else 600), (words, told)
+    assert secrets.line({binned(1e-9): 1}) <= binned(1e-9) and secrets.line({binned(0.3): 1}) > binned(0.3)
 
+
+def test_battery_against_plain_python(spark):
     from pyspark.sql import functions as F
 
     key = "aB3xZ9qLmN0pR7sT2vW5yC8d"
-    alphabet = secrets.ALPHABETS["base64"][0]
+    alphabet = secrets.ALPHABETS["base64"]
     counts = [key.count(c) for c in alphabet]
     n, k = len(key), len(alphabet)
     square = sum((c - n / k) ** 2 / (n / k) for c in counts)
