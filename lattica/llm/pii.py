@@ -105,7 +105,7 @@ def tokens(text: str, start: int = 0, end: int | None = None) -> list[Token]:
 
 
 def shape(word: str) -> str:
-    """Letters as x or X, runs of digits with their length, other characters kept; 24 signs at most."""
+    """Letters as x or X, runs of digits with their length, other characters kept."""
     out, last, run = [], "", 0
     for c in word:
         s = "d" if c.isdigit() else ("X" if c.isupper() else "x") if c.isalpha() else c
@@ -116,8 +116,6 @@ def shape(word: str) -> str:
             out.append(str(min(run, 9)))
         out.append(s)
         last, run = s, 1
-        if len(out) > 24:
-            break
     if last == "d":
         out.append(str(min(run, 9)))
     return "".join(out)
@@ -353,7 +351,7 @@ def labelled_spans(toks: list[Token], labels: np.ndarray, text: str) -> list[Spa
             out[-1] = (out[-1][0], end, out[-1][2])
         else:
             out.append((start, end, name[2:]))
-    return [s for s in out if s[2] and s[1] - s[0] <= 254 and _CHECKS[s[2]](text[s[0] : s[1]])]
+    return [s for s in out if s[2] and _CHECKS[s[2]](text[s[0] : s[1]])]
 
 
 def find(texts: list[str], model: Crf) -> list[tuple[list[Span], list[Span]]]:

@@ -11,7 +11,7 @@ Shards are chosen so that linked fingerprints meet in at least one of them.
 * ``simhash_components``: fingerprints at most R bits apart agree in at least
   one of R + 1 blocks of bits, so each value of each block is a shard. Shards
   over SHARD_LIMIT are dealt again: their other bits differ in at most R places
-  too, so those are cut into R + 1 blocks in turn.
+  too, so those are cut into R + 1 blocks in turn, LEVELS times in all.
 * ``near_duplicates``: copies that share four fifths of their shingles may
   differ in many more bits than blocks can bear, and copies with a line
   repeated in any number of them. Shards are the smallest hashes of the shingle
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii, map_rows, words_of, written
@@ -36,9 +36,11 @@ from .components import connected_components
 
 BITS = 64
 SHARD_LIMIT = 2048
-#: Least hashes of a shingle set, and how many of them deal a text to shards.
+#: How often a crowded shard is dealt again: after four times with a radius of 3 its members agree in 44 of 64 bits.
+LEVELS = 4
+#: Least hashes of a shingle set, which deal a text to shards, and members that all blocks of a crowded shard have.
 LEAST = 8
-ROUTES = 4
+PIVOTS = 16
 #: Sets that are compared in pairs, without an index, and places of an index read at a time.
 FEW, INDEXED = 6, 1 << 20
 
@@ -183,32 +185,37 @@ def _mask(bits: list[int]) -> int:
     return signed(sum(1 << b for b in bits))
 
 
-def shards(prints: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> DataFrame:
+def shards(prints: DataFrame, radius: int, limit: int = SHARD_LIMIT, levels: int = LEVELS) -> DataFrame:
     """(mask, value, fp, rep): every fingerprint with the shards it shares with others.
 
     ``mask`` has the bits in which a shard agrees, ``value`` the fingerprint
-    under it. The members of shards over ``limit`` are dealt by both blocks.
+    under it. The members of shards over ``limit`` are dealt again by blocks of
+    the bits left, ``levels`` times in all; a shard that is still over it
+    agrees in all but a few bits and is searched as it is.
     """
-    first = _masks(list(range(BITS)), radius + 1)
-    second = {
-        _mask(block): [_mask(block + more) for more in _masks([b for b in range(BITS) if b not in block], radius + 1)]
-        for block in first
-    }
-
-    def dealt(rows: DataFrame, masks: Column) -> DataFrame:
-        rows = rows.select("fp", "rep", F.explode(masks).alias("mask"))
+    every = list(range(BITS))
+    masks = [block for block in _masks(every, radius + 1)]
+    left = prints.select("fp", "rep", F.array(*[F.lit(_mask(m)) for m in masks]).alias("masks"))
+    out: DataFrame | None = None
+    for level in range(levels):
+        rows = left.select("fp", "rep", F.explode("masks").alias("mask"))
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return rows.join(sizes, ["mask", "value"])
-
-    one = dealt(prints, F.array(*[F.lit(m) for m in second]))
-    small = one.where(F.col("n") <= limit).select("mask", "value", "fp", "rep")
-    big = one.where(F.col("n") > limit)
-    finer = F.array()
-    for m, masks in second.items():
-        finer = F.when(F.col("mask") == m, F.array(*[F.lit(x) for x in masks])).otherwise(finer)
-    two = dealt(big.select("fp", "rep", finer.alias("masks")), F.col("masks"))
-    return small.unionAll(two.select("mask", "value", "fp", "rep"))
+        dealt = rows.join(sizes, ["mask", "value"])
+        last = level == levels - 1
+        fit = (dealt if last else dealt.where(F.col("n") <= limit)).select("mask", "value", "fp", "rep")
+        out = fit if out is None else out.unionAll(fit)
+        if last:
+            break
+        finer = [(m, [m + more for more in _masks([b for b in every if b not in m], radius + 1)]) for m in masks]
+        masks = [m for _, parts in finer for m in parts]
+        # a table of each mask's finer ones: at most (radius + 1)^levels rows
+        table = prints.sparkSession.createDataFrame([(_mask(m), [_mask(x) for x in parts]) for m, parts in finer], "mask long, masks array<long>")
+        big = cut(dealt.where(F.col("n") > limit).select("mask", "fp", "rep"))
+        if not big.limit(1).count():
+            break
+        left = big.join(F.broadcast(table), "mask").select("fp", "rep", "masks")
+    return out
 
 
 def shard_links(parts: DataFrame, radius: int) -> DataFrame:
@@ -263,15 +270,15 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3, limit:
 # Near-duplicates by similarity of the shingle sets
 
 
-def routes(docs: DataFrame, width: int, limit: int, least: int = LEAST, kept: int = ROUTES) -> DataFrame:
-    """(doc_id, keys): the shards of each text that shares one.
+def routes(docs: DataFrame, width: int, limit: int, least: int = LEAST) -> DataFrame:
+    """(key, doc_id, n): the shards of each text that shares one, with the number of their members.
 
-    Keys are the ``least`` smallest hashes of the set of shingles, of those
-    that other texts have too the ``kept`` rarest. Keys that over ``limit``
-    texts have (a licence, a quoted passage) count in pairs only, all of them: sets with
-    four fifths in common share two of their least hashes in all but one case
-    of ten thousand, while a common line seldom gives a text two of them. Texts
-    of one shingle keep their single key.
+    Keys are the ``least`` smallest hashes of the set of shingles. Keys that
+    over ``limit`` texts have (a licence, a quoted passage) count in pairs
+    only, all of them: sets with four fifths in common share two of their least
+    hashes in all but one case of ten thousand, while a common line seldom gives
+    a text two of them. Texts of one shingle keep their single key. Shards with
+    the same members are one: two hashes over them all tell which.
     """
 
     def make():
@@ -285,41 +292,49 @@ def routes(docs: DataFrame, width: int, limit: int, least: int = LEAST, kept: in
 
         return step
 
-    def rarest(rows: DataFrame, most: int) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "key"))
-        return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "key")
+    def sizes(rows: DataFrame) -> DataFrame:
+        marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+        return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
 
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    def distinct(found: DataFrame) -> DataFrame:
+        return found.groupBy("n", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "n")
 
     rows = written(map_rows(docs.select("doc_id", "text"), make, "doc_id long, key long, lone boolean"), "routes")
-    shared = counted(rows)
-    usual = F.col("lone") | (F.col("n") <= limit)
-    hot = shared.where(~usual).groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys")).where("size(keys) > 1")
+    counted = cut(sizes(rows))
+    # a text of one shingle is alike to another exactly if it has the same key, however many have it
+    lone = rows.where("lone").join(counted.select("key", "n"), "key").select("key", "doc_id", "n")
+    usual = rows.where("not lone").join(distinct(counted.where(F.col("n") <= limit)), "key").select("key", "doc_id", "n")
+    hot = rows.where("not lone").join(counted.where(F.col("n") > limit).select("key"), "key")
+    hot = hot.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys")).where("size(keys) > 1")
     two = F.flatten(F.transform("keys", lambda x: F.transform(F.filter("keys", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    pairs = counted(hot.select("doc_id", F.explode(two).alias("key")))
-    return rarest(shared.where(usual), kept).unionAll(pairs.select("doc_id", "key")).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    pairs = cut(hot.select("doc_id", F.explode(two).alias("key")))
+    paired = pairs.join(distinct(sizes(pairs)), "key").select("key", "doc_id", "n")
+    return usual.unionAll(lone).unionAll(paired)
 
 
-def near_links(docs: DataFrame, width: int, similarity: float, limit: int) -> DataFrame:
-    """(a, b): documents whose sets of shingles are alike, each with the first of its local component."""
+def _compared(docs: DataFrame, slots: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): documents whose sets of shingles are alike, each with the first of its local component.
+
+    ``slots`` has doc_id, key and the parts of the key's shard in which the document is.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: tuple[list, ...] = ([], [], [])
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("keys").to_pylist()
-            for doc, own, text in zip(ids, keys, batch.column("text").to_pylist(), strict=True):
+            out: tuple[list, ...] = ([], [], [], [])
+            ids, shard_lists = batch.column("doc_id").to_pylist(), batch.column("shards").to_pylist()
+            for doc, own, text in zip(ids, shard_lists, batch.column("text").to_pylist(), strict=True):
                 data = np.unique(shingle_hashes(text or "", width).astype(np.uint32)).tobytes()
-                for key in own:
-                    for column, value in zip(out, (key, doc, data), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "doc_id", "members"])
+                for shard in own:
+                    for slot in shard["slots"]:
+                        for column, value in zip(out, (shard["key"], slot, doc, data), strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "slot", "doc_id", "members"])
 
         return step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["key"]):
+        for table in groups(batches, ["key", "slot"]):
             places: dict[bytes, int] = {}
             ids: list[int] = []
             a: list[int] = []
@@ -339,12 +354,50 @@ def near_links(docs: DataFrame, width: int, similarity: float, limit: int) -> Da
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    routed = docs.join(routes(docs, width, limit), "doc_id")
-    members = map_rows(routed.select("doc_id", "keys", "text"), make, "key long, doc_id long, members binary")
-    dealt = members.repartition("key").sortWithinPartitions("key", "doc_id")
+    by_doc = slots.groupBy("doc_id").agg(F.collect_list(F.struct("key", "slots")).alias("shards"))
+    members = map_rows(docs.join(by_doc, "doc_id").select("doc_id", "shards", "text"), make, "key long, slot long, doc_id long, members binary")
+    dealt = members.repartition("key", "slot").sortWithinPartitions("key", "slot", "doc_id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _some(parts: Column, salt: int) -> Column:
+    """One of ``parts`` parts, by the hash of the document."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(parts, F.lit(1)))
+
+
+def near_links(docs: DataFrame, width: int, similarity: float, limit: int) -> DataFrame:
+    """(a, b): links whose components are those of all alike documents that share a shard.
+
+    Shards of at most ``limit`` members are compared in one task. Larger ones
+    are dealt into blocks of about ``limit``, each with PIVOTS members that all
+    blocks have, which ties together most that is alike. What is then outside
+    the largest component of its shard is compared with every block, in pieces
+    of about ``limit``; inside that component no link can add anything.
+    """
+    shards_ = written(routes(docs, width, limit), "shards")
+    blocks = F.ceil(F.col("n") / limit)
+    pivot = _some(F.ceil(F.col("n") / PIVOTS), 3) == 0
+    own = F.array(_some(blocks, 4))
+    first = F.when(F.col("n") <= limit, F.array(F.lit(0).cast("long"))).when(pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own)
+    links = written(_compared(docs, shards_.select("doc_id", "key", first.alias("slots")), width, similarity), "links")
+    big = shards_.where(F.col("n") > limit)
+    if not big.limit(1).count():
+        return links
+    labels = connected_components(links)
+    labelled = cut(big.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+    cores = parts.groupBy("key").agg(F.max(F.struct("held", "component")).alias("core"), F.sum("held").alias("all"))
+    cores = cores.select("key", F.col("core.component").alias("core"), (F.col("all") - F.col("core.held")).alias("outside")).where("outside > 0")
+    apart = labelled.join(cores, "key")
+    pieces = F.ceil(F.col("outside") / limit)
+    block, piece = _some(blocks, 4), _some(pieces, 5)
+    across = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda p: block + blocks * p)
+    along = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: k + blocks * piece)
+    slots = F.when(F.col("component") == F.col("core"), across).otherwise(F.array_union(across, along))
+    more = _compared(docs, apart.select("doc_id", "key", slots.alias("slots")), width, similarity)
+    return links.unionAll(written(more, "links"))
+
+
 def local_roots(sets: list[np.ndarray], similarity: float) -> list[int]:
     """For each of the sorted sets, the first one that alike sets connect it to.
 
