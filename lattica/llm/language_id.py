@@ -125,7 +125,7 @@ def dictionaries(texts: dict[str, list[list[str]]], rows: dict[str, int] | None
 def _spread(parts: list[str], room: int) -> bytes:
     """``room`` bytes of the parts, a share from the start of each."""
     data = [p.encode() for p in parts]
-    cut = [d[:n] for d, n in zip(data, shares([len(d) for d in data], room - len(data)), strict=True)] if room > len(data) else []
+    cut = [d[:n] for d, n in zip(data, shares([len(d) for d in data], room - len(data) + 1), strict=True)] if room >= len(data) else []
     return b" ".join(c for c in cut if c)
 
 

@@ -3,19 +3,21 @@
 A window is WINDOW consecutive words. A word goes when a window that covers it
 has a word sequence that starts earlier as well.
 
-Only suffixes that can repeat are put into trees. Every window picks the
-smallest hash among the PREFIX-word sequences inside it, its anchor; equal
-windows pick equal anchors, so a window whose anchor is unique is unique. That
-leaves about one anchor for each eight words to be counted.
-
-Suffixes whose anchor occurs again are dealt to groups by the anchor. A group
-of at most ``limit`` anchors fits in memory; its suffixes are sorted by prefix
-doubling, which gives the nodes of the suffix tree at the depths 1, 2, 4, 8, 16
-and WINDOW words. A node at the last depth with several leaves is a repeat; all
-its leaves but the first go. Groups over the limit get the longest prefix that
-matters, the whole window: there, all leaves hang from one node, so only its
-first leaf is needed, which is found by an aggregate that combines before it is
-shuffled and is joined back with skew handling.
+1. Pruning. Only suffixes that may repeat are dealt out. Every window picks the
+   smallest hash among the ANCHOR-word sequences inside it, its anchor; equal
+   windows pick equal anchors, so a window whose anchor is unique is unique. The
+   anchors of all documents are counted, and those that occur again are kept in
+   a bitmap of FILTER_BITS bits.
+2. Prefixes. The other suffixes, cut off at WINDOW words since nothing deeper
+   matters, are split by their first PREFIXES[0] words. Groups of over ``limit``
+   suffixes are split again by longer prefixes, up to the whole window.
+3. Trees. A group fits in memory: its suffixes are sorted and a stack over the
+   words that neighbours have in common gives the internal nodes of its subtree.
+   A node as deep as the window is a repeat, and its leaves but the first are
+   runs that go. A group whose prefix is the whole window is such a node: its
+   first leaf comes from an aggregate that combines before it is shuffled.
+4. Maximal repeats. Runs of window starts that follow one another are one
+   passage, as long as it repeats.
 """
 
 from __future__ import annotations
@@ -26,16 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, words_of, written
 
 WINDOW = 20
-PREFIX = 6
-#: Anchors of a group up to which its tree is built in memory (about 5 MB), and words of the groups taken together.
+ANCHOR = 6
+#: Words of the prefixes by which suffixes are split, before the whole window.
+PREFIXES = (6, 12)
+#: Suffixes of a group up to which its tree is built in memory (about 5 MB).
 GROUP_LIMIT = 16_384
-TREE_WORDS = 500_000
+#: Bits of the filter of anchors: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -63,247 +68,222 @@ def anchors(code: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
     if len(code) < window:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    grams = rolled(code, PREFIX, _M1)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window - PREFIX + 1)
+    grams = rolled(code, ANCHOR, _M1)
+    view = np.lib.stride_tricks.sliding_window_view(grams, window - ANCHOR + 1)
     place = np.arange(len(view)) + view.argmin(1)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.concatenate((first[1:] - 1, [len(place) - 1]))
     return grams[place[first]], place[first], first, last
 
 
-def chosen(key: np.ndarray, keys: list[int]) -> np.ndarray:
-    """The anchors whose hash is among ``keys``."""
-    return np.flatnonzero(np.isin(key.view(np.int64), np.array(keys, np.int64)))
-
-
-def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """key, doc_id and n: how often a document has each of its anchors, once for a key, so that periodic texts don't crowd it."""
+def anchor_counts(docs: DataFrame, window: int) -> DataFrame:
+    """key and n: the anchors of all documents, and how often each occurs."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, ids, counts = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                key, n = np.unique(anchors(codes(words_of(text)), window)[0], return_counts=True)
-                keys.append(key.view(np.int64))
-                ids.append(np.full(len(key), doc, np.int64))
-                counts.append(n.astype(np.int32))
-            join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(join(keys, np.int64)), pa.array(join(ids, np.int64)), pa.array(join(counts, np.int32))],
-                ["key", "doc_id", "n"],
-            )
+            found = [anchors(codes(words_of(text)), window)[0] for text in batch.column("text").to_pylist()]
+            key, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
 
         return step
 
-    return map_rows(docs, make, "key long, doc_id long, n int")
+    return map_rows(docs.select("text"), make, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def repeated_anchors(docs: DataFrame, window: int, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of ``bits`` bits with the slot of each anchor that occurs again. It is all that the driver gets."""
+    slot = F.pmod("key", F.lit(bits)) + 1
+    again = anchor_counts(docs, window).where("n > 1")
+    rows = again.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(max(bits // 8, BUCKET), np.uint8)
+    for r in rows.collect():
+        out[(r["bucket"] - 1) * BUCKET :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+#: Bytes of a bucket of the bitmap functions.
+BUCKET = 4096
 
 
-def contexts(docs: DataFrame, window: int) -> DataFrame:
-    """The words of all windows that each anchor in ``keys`` stands for: key, doc_id, start, suffixes, words.
+def repeating(key: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """The places of the anchors whose slot is set."""
+    slot = (key % np.uint64(bits)).astype(np.int64)
+    return np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
-    Of rows of one slice with the same words only the first keeps them: the
-    others are repeats already, and come with null instead.
+
+def suffix_rows(docs: DataFrame, window: int, bitmap: np.ndarray, bits: int) -> DataFrame:
+    """The suffixes that may repeat, cut off at ``window`` words: key, doc_id, mark, lo, hi, words.
+
+    ``key`` hashes the first PREFIXES[0] words. Of suffixes of one slice with
+    the same words only the first has them (lo = hi): the others are repeats
+    already, and come as runs with null instead.
     """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             seen: set[str] = set()
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "keys")]
-            for doc, text, keys in sorted(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")]
+            for doc, mark, text in sorted(set(zip(*columns, strict=True))):
                 words = words_of(text)
-                key, _, first, last = anchors(codes(words), window)
-                for k in chosen(key, keys).tolist():
-                    lo, hi = int(first[k]), int(last[k])
-                    context = " ".join(words[lo : hi + window])
-                    row = (int(key[k].view(np.int64)), doc, lo, hi - lo + 1, None if context in seen else context)
-                    seen.add(context)
+                code = codes(words)
+                key, _, first, last = anchors(code, window)
+                hits = repeating(key, bitmap, bits)
+                if not len(hits):
+                    continue
+                heads = rolled(code, PREFIXES[0], _M1).view(np.int64)
+                line = " ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                begins = np.concatenate(([0], ends))
+                starts = np.concatenate([np.arange(first[k], last[k] + 1) for k in hits.tolist()])
+                places = zip(starts.tolist(), heads[starts].tolist(), begins[starts].tolist(), (ends[starts + window - 1] - 1).tolist(), strict=True)
+                run = None
+                for at, head, a, b in places:
+                    suffix = line[a:b]
+                    if suffix not in seen:
+                        seen.add(suffix)
+                        row = (head, doc, mark, at, at, suffix)
+                        run = None
+                    elif run == at - 1:
+                        out[4][-1] = run = at
+                        continue
+                    else:
+                        row, run = (None, doc, mark, at, at, None), at
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-            names = ["key", "doc_id", "start", "suffixes", "words"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "doc_id", "mark", "lo", "hi", "words"])
 
         return step
 
-    return map_rows(docs, make, "key long, doc_id long, start int, suffixes int, words string")
+    return map_rows(docs.select("doc_id", "mark", "text"), make, "key long, doc_id long, mark long, lo int, hi int, words string")
+
+
+Node = tuple[int, int, int]
 
 
-def repeated_suffixes(rows: list[tuple[int, int, int, list[str]]], window: int) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, first, last) start of each run of suffixes that hang from a node but are not its first leaf.
+def deep_nodes(suffixes: list[list[str]], depth: int) -> Iterator[Node]:
+    """(depth, first, last) of the internal nodes at least ``depth`` words deep of the tree of sorted suffixes.
 
-    ``rows`` are (doc_id, start, suffixes, words) of whole groups, each group's
-    by doc_id and start.
+    A node is an interval of suffixes that have its words in common. Suffixes
+    are opened as leaves one after the other, and the nodes that the next one
+    does not share are closed.
     """
-    lengths = np.array([len(r[3]) for r in rows])
-    ends = np.cumsum(lengths)
-    begins = ends - lengths
-    code = codes([w for r in rows for w in r[3]])
-    row = np.repeat(np.arange(len(rows)), lengths)
-    left = ends[row] - np.arange(len(code))  # words up to the end of the row
-    rank = np.unique(code, return_inverse=True)[1]
-    depth = 1
-    kept: dict[int, np.ndarray] = {1: rank}
-
-    def paired(a: np.ndarray, b: np.ndarray, step: int, total: int) -> np.ndarray:
-        out = np.full(len(code), -1)
-        live = np.flatnonzero(left >= total)
-        pair = a[live] * np.int64(len(code) + 1) + b[live + step]
-        out[live] = np.unique(pair, return_inverse=True)[1]
-        return out
-
-    while depth * 2 <= window:
-        rank = paired(rank, rank, depth, depth * 2)
-        depth *= 2
-        kept[depth] = rank
-    for part in sorted(kept, reverse=True):
-        while depth + part <= window:
-            rank = paired(rank, kept[part], depth, depth + part)
-            depth += part
-    suffixes = np.array([r[2] for r in rows])
-    offset = np.arange(len(code)) - begins[row]
-    live = np.flatnonzero(offset < suffixes[row])
-    nodes, leaf = np.unique(rank[live], return_index=True)
-    again = np.ones(len(live), bool)
-    again[leaf] = False
-    hits = live[again]
-    if not len(hits):
-        return
-    cut = np.flatnonzero((np.diff(hits) != 1) | (np.diff(row[hits]) != 0)) + 1
-    for run in np.split(hits, cut):
-        r = int(row[run[0]])
-        yield rows[r][0], rows[r][1] + int(offset[run[0]]), rows[r][1] + int(offset[run[-1]])
-
-
-def spans_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], ["doc_id", "lo", "hi"])
+    stack: list[tuple[int, int]] = []
+    for k in range(len(suffixes)):
+        common = 0
+        if k + 1 < len(suffixes):
+            a, b = suffixes[k], suffixes[k + 1]
+            if a == b:
+                common = len(a)
+            else:
+                for x, y in zip(a, b, strict=False):
+                    if x != y:
+                        break
+                    common += 1
+        begin = k
+        while stack and stack[-1][0] > common:
+            deep, begin = stack.pop()
+            if deep >= depth:
+                yield deep, begin, k
+        if common and (not stack or stack[-1][0] < common):
+            stack.append((common, begin))
+
+
+Place = tuple[int, int, int]
+
+
+def tree_repeats_of(group: list[tuple[str, Place]], window: int) -> list[Place]:
+    """(doc_id, mark, start) of the leaves of deep nodes but the first, from the suffixes of one group in any order."""
+    group = sorted(group)
+    found: list[Place] = []
+    suffixes = [words.split(" ") for words, _ in group]
+    for _, first, last in deep_nodes(suffixes, window):
+        leaves = [place for _, place in group[first : last + 1]]
+        least = min(leaves)
+        found += [place for place in leaves if place != least]
+    return found
+
+
+def _runs_batch(found: list[Place]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32())
+    doc_id, mark, start = (pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))
+    return pa.RecordBatch.from_arrays([doc_id, mark, start, start], ["doc_id", "mark", "lo", "hi"])
+
+
+RUN = "doc_id long, mark long, lo int, hi int"
 
 
 def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, lo and hi of the repeated runs, from trees over whole groups of ``contexts``."""
+    """doc_id, mark, lo and hi of the repeats, from a tree over each whole group of suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(group: list) -> pa.RecordBatch:
-            return spans_batch(list(repeated_suffixes(group, window)) if group else [])
-
-        group: list = []
-        seen: set[tuple[int, str]] = set()
-        copies: list[tuple[int, int, int]] = []
-        size, last = 0, None
+        group: list[tuple[str, Place]] = []
+        last = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                for key, doc, start, suffixes, words in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if key != last:
-                        seen.clear()
-                        if size >= TREE_WORDS:
-                            yield flush(group)
-                            group, size = [], 0
-                    last = key
-                    # the same words again: every suffix hangs from a node that has an earlier leaf
-                    if words is None or (suffixes, words) in seen:
-                        copies.append((doc, start, start + suffixes - 1))
-                        continue
-                    seen.add((suffixes, words))
-                    own = words.split(" ")
-                    size += len(own)
-                    group.append((doc, start, suffixes, own))
-                yield spans_batch(copies)
-                copies = []
-        yield flush(group)
-
-    dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    return dealt.select("key", "doc_id", "start", "suffixes", "words").mapInArrow(run, "doc_id long, lo int, hi int")
+            found: list[Place] = []
+            for key, doc, mark, at, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    if len(group) > 1:
+                        found += tree_repeats_of(group, window)
+                    group, last = [], key
+                group.append((words, (doc, mark, at)))
+            yield _runs_batch(found)
+        yield _runs_batch(tree_repeats_of(group, window))
 
+    dealt = rows.select("key", "doc_id", "mark", "lo", "words").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, RUN)
 
-def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """The windows that each anchor in ``keys`` stands for: a 128-bit hash, doc_id, lo and hi.
 
-    Of equal windows of one slice only the first comes with its hash (lo = hi):
-    the others are repeats already, and come as runs with null instead.
-    """
+def leaf_repeats(rows: DataFrame) -> DataFrame:
+    """The leaves but the first of groups whose prefix is the whole window."""
+    place = F.struct("doc_id", "mark", "lo")
+    first = rows.groupBy("words").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = rows.join(written(first, "leaves"), "words").where(place != F.col("first"))
+    return later.select("doc_id", "mark", "lo", "hi")
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "keys")]
-            for doc, text, keys in sorted(zip(*columns, strict=True)):
-                code = codes(words_of(text))
-                key, _, first, last = anchors(code, window)
-                a, b = rolled(code, window, _M1), rolled(code ^ _M1, window, _M2)
-                starts = np.concatenate([np.arange(first[k], last[k] + 1) for k in chosen(key, keys)])
-                for column, value in zip(parts, (a[starts], b[starts], np.full(len(starts), doc), starts), strict=True):
-                    column.append(value)
-            a, b, ids, starts = (np.concatenate(p) for p in parts)
-            pairs = np.rec.fromarrays([a, b])
-            leaf = np.zeros(len(a), bool)
-            leaf[np.unique(pairs, return_index=True)[1]] = True
-            again = np.flatnonzero(~leaf)
-            begins = np.ones(len(again), bool)
-            begins[1:] = (np.diff(again) != 1) | (np.diff(ids[again]) != 0) | (np.diff(starts[again]) != 1)
-            runs = np.flatnonzero(begins)
-            ends = np.concatenate((runs[1:] - 1, [len(again) - 1])).astype(int) if len(again) else runs
-            lo, hi = starts[again[runs]], starts[again[ends]]
-            none = np.concatenate((np.zeros(int(leaf.sum()), bool), np.ones(len(runs), bool)))
-            hashes = [pa.array(np.concatenate((x[leaf], np.zeros(len(runs), np.uint64))).view(np.int64), mask=none) for x in (a, b)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    *hashes,
-                    pa.array(np.concatenate((ids[leaf], ids[again[runs]])).astype(np.int64)),
-                    pa.array(np.concatenate((starts[leaf], lo)).astype(np.int32)),
-                    pa.array(np.concatenate((starts[leaf], hi)).astype(np.int32)),
-                ],
-                ["key", "key2", "doc_id", "lo", "hi"],
-            )
 
-        return step
+def _longer(words: int) -> Column:
+    """A hash of the first ``words`` words."""
+    return F.xxhash64(F.substring_index("words", " ", words))
 
-    return map_rows(docs, make, "key long, key2 long, doc_id long, lo int, hi int")
 
+def repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT, bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, mark, lo and hi (inclusive) of the window starts that also start earlier.
 
-def leaf_repeats(rows: DataFrame) -> DataFrame:
-    """doc_id, lo and hi of each window that is not the first with its words, from ``window_rows``."""
-    leaves = rows.where("key is not null")
-    first = (
-        leaves.groupBy("key", "key2")
-        .agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
-    later = leaves.join(first, ["key", "key2"]).where(F.struct("doc_id", "lo") != F.col("first"))
-    return rows.where("key is null").select("doc_id", "lo", "hi").unionAll(later.select("doc_id", "lo", "hi"))
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT) -> DataFrame:
-    """doc_id, lo and hi (inclusive) of the window starts that also start earlier. ``docs`` has doc_id and text."""
-    rows = anchor_rows(docs, window)
-    # written apart, so that the join is free to split an anchor that very many documents share
-    sizes = written(rows.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1"), "anchors")
-    again = rows.select("key", "doc_id").join(sizes, "key")
-    crowded = F.col("total") > limit
-    by_doc = written(
-        again.groupBy("doc_id").agg(
-            F.collect_list(F.when(~crowded, F.col("key"))).alias("few"),
-            F.collect_list(F.when(crowded, F.col("key"))).alias("many"),
-        ),
-        "keys",
-    )
-    few = docs.join(by_doc.where("size(few) > 0").select("doc_id", F.col("few").alias("keys")), "doc_id")
-    many = docs.join(by_doc.where("size(many) > 0").select("doc_id", F.col("many").alias("keys")), "doc_id")
-    return tree_repeats(contexts(few, window), window).unionAll(leaf_repeats(written(window_rows(many, window), "windows")))
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT) -> DataFrame:
+    ``docs`` has doc_id, mark and text; documents are ordered by the first two.
+    """
+    rows = written(suffix_rows(docs, window, repeated_anchors(docs, window, bits), bits), "suffixes")
+    found = rows.where("words is null").select("doc_id", "mark", "lo", "hi")
+    left = rows.where("words is not null")
+    for level in range(len(PREFIXES)):
+        if level:
+            left = left.withColumn("key", _longer(PREFIXES[level]))
+        # written apart, so that the join is free to split a prefix that very many suffixes have
+        sizes = written(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefixes")
+        small = left.join(sizes.where(F.col("n") <= limit).select("key"), "key", "left_semi")
+        found = found.unionAll(tree_repeats(small, window))
+        big = sizes.where(F.col("n") > limit).select("key")
+        if not big.limit(1).count():
+            return found
+        left = left.join(big, "key", "left_semi")
+    return found.unionAll(leaf_repeats(left))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text that stays) of each row of ``docs``.
 
     Null and empty texts have no words; texts of fewer than ``window`` words
-    keep all. Texts are read whole. The identifiers must be unique: they order
-    the documents. Rows without one come with their words and nothing removed.
-    Columns other than doc_id and text are not read. No rows give no rows.
+    keep all. Texts are read whole. Rows that share an identifier are ordered by
+    a hash of their text; rows that repeat both are one document, and what stays
+    of it stays in each. Rows without an identifier come with their words and
+    nothing removed. Columns other than doc_id and text are not read. No rows
+    give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = repeats(rows.where("doc_id is not null"), window, limit)
-    cuts = found.groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    found = repeats(rows.where("doc_id is not null"), window, limit, bits)
+    cuts = found.groupBy("doc_id", "mark").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -329,5 +309,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIM
 
         return step
 
-    joined = rows.join(cuts, "doc_id", "left")
+    joined = rows.join(cuts, ["doc_id", "mark"], "left")
     return map_rows(joined, make, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

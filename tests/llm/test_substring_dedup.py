@@ -5,7 +5,7 @@ import re
 import pytest
 from hostile import documents, empty
 
-from lattica.llm.substring_dedup import remove_repeats
+from lattica.llm.substring_dedup import deep_nodes, remove_repeats
 
 
 def brute(rows, window):
@@ -41,6 +41,37 @@ def test_against_brute_force(spark, limit, alphabet):
     assert {r[0]: (r[1], r[2], r[3]) for r in got.drop("kept").collect()} == brute(rows, 20)
 
 
+def test_nodes_against_all_prefixes():
+    rng = random.Random(7)
+    for alphabet in (1, 2, 3):
+        suffixes = sorted([f"w{rng.randrange(alphabet)}" for _ in range(rng.randint(1, 6))] for _ in range(40))
+        want = set()
+        for prefix in {tuple(s[:k]) for s in suffixes for k in range(1, len(s) + 1)}:
+            own = [k for k, s in enumerate(suffixes) if tuple(s[: len(prefix)]) == prefix]
+            after = {tuple(suffixes[k][len(prefix) : len(prefix) + 1]) for k in own}
+            if len(own) > 1 and (len(after) > 1 or after == {()}):
+                want.add((len(prefix), own[0], own[-1]))
+        for depth in (1, 3, 6):
+            assert sorted(deep_nodes(suffixes, depth)) == sorted(n for n in want if n[0] >= depth)
+
+
+def test_few_bits_in_the_filter_change_nothing(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randrange(9)}" for _ in range(60))) for k in range(40)]
+    rows += [(100 + k, rows[k][1]) for k in range(9)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bits=1 << 15)
+    assert {r[0]: (r[1], r[2], r[3]) for r in got.drop("kept").collect()} == brute(rows, 20)
+
+
+def test_rows_that_share_an_identifier(spark):
+    first, second = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(1, first), (1, first), (1, f"x {first} {second}"), (2, second)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    n = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got)
+    # the two equal rows are one document; which of the texts under 1 comes first is up to their hashes
+    assert n in ([(1, 30, 0), (1, 30, 0), (1, 61, 30), (2, 30, 30)], [(1, 30, 30), (1, 30, 30), (1, 61, 0), (2, 30, 30)])
+
+
 def test_hostile_documents(spark):
     docs = documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     got = remove_repeats(docs)
