@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..mesh import MeshFrame
-from . import binary_formats, more_formats, text_formats  # noqa: F401  (they register their formats)
+from . import binary_formats, deck_formats, more_formats, text_formats, vtk_formats  # noqa: F401  (they register their formats)
 from .raw import FORMATS, RawMesh, detect
 
 ROW = "mesh_id string, kind string, id bigint, x double, y double, z double, cell_type string, nodes array<bigint>, name string, tag bigint, data map<string, array<double>>"
@@ -152,11 +152,46 @@ def read_tables(spark: SparkSession, path: str, regions: bool = False) -> MeshFr
     return MeshFrame(read("points"), read("cells"), read("regions") if regions else None)
 
 
-def write_graph(graph: DataFrame, vertices: int, path: str) -> None:
-    """An undirected graph (src, dst both ways, from 0) as lines ``vertex: neighbours`` from 1, ordered by vertex."""
-    lines = graph.groupBy("src").agg(F.concat_ws(" ", F.array_sort(F.collect_list(F.col("dst") + 1))).alias("near"))
-    full = graph.sparkSession.range(vertices).join(lines, F.col("id") == F.col("src"), "left").orderBy("id")
-    full.select(F.coalesce("near", F.lit("")).alias("value")).write.text(path)
+#: Dialects of graph files by extension.
+GRAPHS = {".graph": "metis", ".metis": "metis", ".grf": "scotch"}
+
+
+def graph_format_for_path(path: str) -> str:
+    """The dialect that a path's extension names."""
+    for extension, name in GRAPHS.items():
+        if path.lower().endswith(extension):
+            return name
+    raise ValueError(f"{path}: graph files end in {', '.join(GRAPHS)}")
+
+
+def graph_lines(graph: DataFrame, vertices: int, dialect: str = "metis") -> DataFrame:
+    """line (from 0) and value: an undirected graph (src, dst both ways, ids from 0) as the lines of a graph file.
+
+    METIS begins with the numbers of vertices and edges and has the neighbours
+    of each vertex, from 1. Scotch begins with a version, vertices and arcs, then
+    the base and flags, and has each vertex's degree before its neighbours, from 0.
+    """
+    if dialect not in ("metis", "scotch"):
+        raise ValueError(f"{dialect!r} is neither metis nor scotch")
+    base = 1 if dialect == "metis" else 0
+    spark = graph.sparkSession
+    near = graph.groupBy("src").agg(F.array_sort(F.collect_list(F.col("dst") + base)).alias("near"))
+    rows = spark.range(vertices).join(near, F.col("id") == F.col("src"), "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
+    neighbours = F.concat_ws(" ", F.col("near").cast("array<string>"))
+    body = neighbours if base else F.concat_ws(" ", F.size("near").cast("string"), F.when(F.size("near") > 0, neighbours))
+    arcs = graph.agg(F.count(F.lit(1)).alias("n"))
+    if base:
+        head = arcs.select(F.lit(0).cast("bigint").alias("line"), F.concat(F.lit(f"{vertices} "), (F.col("n") / 2).cast("bigint").cast("string")).alias("value"))
+    else:
+        first = F.concat(F.lit(f"{vertices} "), F.col("n").cast("string"))
+        head = arcs.select(F.posexplode(F.array(F.lit("0"), first, F.lit("0 000"))).alias("line", "value"))
+    return head.unionByName(rows.select((F.col("id") + (1 if base else 3)).alias("line"), body.alias("value")))
+
+
+def write_graph(graph: DataFrame, vertices: int, path: str, dialect: str | None = None) -> None:
+    """``graph_lines`` as text in the order of the lines; the part files of the folder ``path``, one after the other, are the graph file."""
+    lines = graph_lines(graph, vertices, dialect or graph_format_for_path(path))
+    lines.repartitionByRange("line").sortWithinPartitions("line").select("value").write.text(path)
 
 
 def natural_key(column: str = "path"):
