@@ -73,10 +73,11 @@ def select(mesh: MeshFrame, name: str, kind: str, test: Column, mode: str = "all
 
 
 def renumbered(mesh: MeshFrame) -> MeshFrame:
-    """Points and cells from 0 in the order of their ids, with ``original_id``; the number is a window for each mesh."""
+    """Points and cells from 0 in the order of their ids, with ``original_id``."""
+    from .ordering import numbered
 
     def dense(df: DataFrame, key: str) -> DataFrame:
-        return df.select("mesh_id", key, (F.row_number().over(Window.partitionBy("mesh_id").orderBy(key)) - 1).cast("bigint").alias("new"))
+        return numbered(df.select("mesh_id", key), [key], "new").drop("new_of")
 
     p, c = dense(mesh.points, "point_id"), dense(mesh.cells, "cell_id")
     points = mesh.points.join(p, POINT_KEYS).withColumn("original_id", F.col("point_id")).withColumn("point_id", F.col("new")).drop("new")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..celltypes import EDGES, ELEVATED, LINEAR, SIMPLEX_TYPE, SIMPLICES, by_type, corner_count, tuples
 from ..mesh import CELL_KEYS, POINT_KEYS, MeshFrame
 from .filters import pruned
+from .ordering import numbered
 from .topology import unique_edges
 
 #: Cells up to which a lattice is made unless the caller raises it.
@@ -56,16 +57,15 @@ def simplexify(cells: DataFrame) -> DataFrame:
     t = F.col("cell_type")
     parts = cells.select("*", F.posexplode(tuples(t, F.col("nodes"), SIMPLICES)).alias("_k", "_nodes"))
     kind = F.when(F.size("_nodes") == 2, SIMPLEX_TYPE[1]).when(F.size("_nodes") == 3, SIMPLEX_TYPE[2]).otherwise(SIMPLEX_TYPE[3])
-    number = F.row_number().over(Window.partitionBy("mesh_id").orderBy("parent", "_k")) - 1
     out = parts.withColumn("parent", F.col("cell_id")).withColumn("cell_type", kind).withColumn("nodes", F.col("_nodes"))
-    return out.withColumn("cell_id", number.cast("bigint")).drop("_k", "_nodes")
+    return numbered(out, ["parent", "_k"], "cell_id").drop("_k", "_nodes", "cell_id_of")
 
 
 def elevate(mesh: MeshFrame) -> MeshFrame:
     """Quadratic cells: one new node in the middle of every distinct edge, numbered after the points by the edge's ends."""
     last = mesh.points.groupBy("mesh_id").agg(F.max("point_id").alias("_last"))
-    number = F.row_number().over(Window.partitionBy("mesh_id").orderBy("lo", "hi"))
-    mids = unique_edges(mesh.cells).join(F.broadcast(last), "mesh_id").select("mesh_id", "lo", "hi", (F.col("_last") + number).alias("mid"))
+    rows = numbered(unique_edges(mesh.cells).select("mesh_id", "lo", "hi"), ["lo", "hi"], "_number")
+    mids = rows.join(F.broadcast(last), "mesh_id").select("mesh_id", "lo", "hi", (F.col("_last") + 1 + F.col("_number")).alias("mid"))
     ends = mesh.points.select("mesh_id", "point_id", "x", "y", "z")
     a = ends.select("mesh_id", F.col("point_id").alias("lo"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
     b = ends.select("mesh_id", F.col("point_id").alias("hi"), *[F.col(c).alias(f"b{c}") for c in "xyz"])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..celltypes import SIMPLICES, by_type, dimension
+from ..celltypes import FLIPPED, SIMPLICES, by_type, dimension
 from ..functions.numbers import divided, finite, only_finite, or_nan
 from ..mesh import CELL_KEYS, POINT_KEYS, MeshFrame
 
@@ -63,7 +63,7 @@ def transform(points: DataFrame, matrix: Matrix, vectors: list[tuple[str, str, s
 
 
 def mirror(points: DataFrame, origin: tuple[float, float, float], normal: tuple[float, float, float]) -> DataFrame:
-    """Points reflected in a plane; the cells have to be flipped as well."""
+    """Points reflected in a plane; ``mirror_mesh`` turns the cells as well."""
     n = math.sqrt(sum(a * a for a in normal))
     u = [a / n for a in normal]
     d = sum(((F.col(c) - o) * a for c, o, a in zip("xyz", origin, u, strict=True)), F.lit(0.0))
@@ -83,6 +83,18 @@ def inverse_cylindrical(points: DataFrame) -> DataFrame:
     return points.withColumns({"x": F.col("cyl_r") * F.cos("cyl_theta"), "y": F.col("cyl_r") * F.sin("cyl_theta"), "z": F.col("cyl_z")})
 
 
+def inverse_spherical(points: DataFrame) -> DataFrame:
+    flat = F.col("sph_r") * F.sin("sph_theta")
+    return points.withColumns({"x": flat * F.cos("sph_phi"), "y": flat * F.sin("sph_phi"), "z": F.col("sph_r") * F.cos("sph_theta")})
+
+
+def mirror_mesh(mesh: MeshFrame, origin: tuple[float, float, float], normal: tuple[float, float, float]) -> MeshFrame:
+    """The mesh reflected in a plane, its cells turned so that they are as they were seen from inside."""
+    t, nodes = F.col("cell_type"), F.col("nodes")
+    turned = by_type(t, FLIPPED, lambda order: F.array(*[nodes.getItem(k) for k in order]), nodes)
+    return mesh.with_(points=mirror(mesh.points, origin, normal), cells=mesh.cells.withColumn("nodes", turned))
+
+
 Vec = tuple[Column, Column, Column]
 
 

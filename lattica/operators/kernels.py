@@ -188,7 +188,7 @@ def fit_primitives(points: DataFrame, patch: str = "patch") -> DataFrame:
     return m.mapInPandas(solve, f"mesh_id string, {patch} {kind_of}, kind string, params array<double>, rms double")
 
 
-def geodesic_distance(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def edge_distance(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """mesh_id, point_id, distance along edges (mesh_id, src, dst, length, both ways) from the sources.
 
     Relaxation in rounds over the points whose distance has just fallen;
@@ -217,32 +217,14 @@ def edge_lengths(cells: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def signed_distance(points: DataFrame, triangles: DataFrame) -> DataFrame:
-    """point_id and distance to a closed triangle surface (mesh_id, corners: 3 structs x, y, z), negative inside.
+    """point_id and distance to a closed triangle surface (mesh_id, cell_id, corners: 3 structs x, y, z), negative inside."""
+    from .proximity import nearest_triangles
 
-    The surface is a mesh in hand: at most MAX_TRIANGLES triangles of each mesh
-    are allowed, checked before they are sent; points stream past them in
-    batches. The sign is the winding number's.
-    """
-    counts = triangles.groupBy("mesh_id").count().agg(F.max("count"), F.sum("count")).first()
-    if (counts[1] or 0) > MAX_TRIANGLES:
-        raise ValueError(f"{counts[1]} triangles are over {MAX_TRIANGLES}; cut the surface into meshes first")
-    held = triangles.select("mesh_id", *[F.col("corners").getItem(k)[c].alias(f"{c}{k}") for k in range(3) for c in XYZ]).toPandas()
-    surfaces = {m: g[[f"{c}{k}" for k in range(3) for c in XYZ]].to_numpy().reshape(-1, 3, 3) for m, g in held.groupby("mesh_id")}
-
-    def run(batches):
-        for b in batches:
-            out = np.full(len(b), np.nan)
-            for mesh, t in surfaces.items():
-                own = np.flatnonzero((b.mesh_id == mesh).to_numpy())
-                for lo in range(0, len(own), 64):
-                    part = own[lo : lo + 64]
-                    p = b[XYZ].to_numpy()[part]
-                    out[part] = distance_to_triangles(p, t) * np.where(winding(p, t) > 0.5, -1, 1)
-            yield pd.DataFrame({"mesh_id": b.mesh_id, "point_id": b.point_id, "distance": out})
-
-    return points.select(*POINT_KEYS, *XYZ).mapInPandas(run, "mesh_id string, point_id bigint, distance double")
+    near = nearest_triangles(points, triangles)
+    return near.select(*POINT_KEYS, (F.col("side") * F.col("distance")).alias("distance"))
 
 
+#: Triangles that rays are cast against in hand.
 MAX_TRIANGLES = 200_000
 
 
@@ -253,36 +235,3 @@ def winding(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     top = np.einsum("ijk,ijk->ij", a, np.cross(b, c))
     bottom = la * lb * lc + (a * b).sum(2) * lc + (b * c).sum(2) * la + (c * a).sum(2) * lb
     return np.arctan2(top, bottom).sum(1) / (2 * np.pi)
-
-
-def distance_to_triangles(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The least distance of each point to the triangles: to the plane where it falls inside, else to the edges."""
-    best = np.full(len(p), np.inf)
-    a, b, c = t[:, 0], t[:, 1], t[:, 2]
-    n = np.cross(b - a, c - a)
-    size = np.maximum(np.linalg.norm(n, axis=1), 1e-300)
-    u = n / size[:, None]
-    rel = p[:, None] - a[None]
-    height = (rel * u[None]).sum(2)
-    foot = p[:, None] - height[..., None] * u[None]
-    inside = np.ones(height.shape, bool)
-    for s, e in ((a, b), (b, c), (c, a)):
-        inside &= np.einsum("ijk,jk->ij", np.cross((e - s)[None], foot - s[None]), u) >= 0
-        d = e - s
-        w = np.clip(((p[:, None] - s[None]) * d[None]).sum(2) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
-        best = np.minimum(best, np.linalg.norm(p[:, None] - s[None] - w[..., None] * d[None], axis=2).min(1))
-    return np.minimum(best, np.where(inside, np.abs(height), np.inf).min(1))
-
-
-def laplacian_eigenmodes(mesh_rows: DataFrame, modes: int = 4) -> DataFrame:
-    """mesh_id, mode, value: least eigenvalues of the graph Laplacian of each mesh (mesh_id, src, dst both ways), in hand."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(g.src)
-        place = {v: k for k, v in enumerate(ids)}
-        a = np.zeros((len(ids), len(ids)))
-        a[[place[s] for s in g.src], [place[d] for d in g.dst]] = 1
-        values = np.linalg.eigvalsh(np.diag(a.sum(1)) - a)[:modes]
-        return pd.DataFrame({"mesh_id": g.mesh_id.iloc[0], "mode": range(len(values)), "value": np.maximum(values, 0)})
-
-    return mesh_rows.groupBy("mesh_id").applyInPandas(one, "mesh_id string, mode int, value double")

@@ -96,11 +96,11 @@ def mark_absolute(errors: DataFrame, column: str, limit: float) -> DataFrame:
 
 def mark_fraction(errors: DataFrame, column: str, share: float) -> DataFrame:
     """The floor(share N + 0.5) largest, ties by ascending cell; what is not finite is never marked."""
-    c = F.when(finite(F.col(column)), F.col(column))
-    w = Window.partitionBy("mesh_id")
-    rank = F.row_number().over(w.orderBy(c.desc_nulls_last(), "cell_id"))
-    take = F.floor(F.lit(share) * F.count(F.lit(1)).over(w) + 0.5)
-    return errors.withColumn("marked", (c.isNotNull() & (rank <= take)).cast("int"))
+    usable = finite(F.col(column))
+    down = F.when(usable, -F.col(column)).otherwise(F.lit(float("inf")))
+    placed = numbered(errors.withColumn("_down", down), ["_down", "cell_id"], "_rank")
+    take = F.floor(F.lit(share) * F.col("_rank_of") + 0.5)
+    return placed.withColumn("marked", (usable & (F.col("_rank") < take)).cast("int")).drop("_down", "_rank", "_rank_of")
 
 
 def mark_dorfler(errors: DataFrame, column: str, theta: float) -> DataFrame:

@@ -67,37 +67,53 @@ def periodic_pairs(points: DataFrame, radius: float, box: tuple[float, float, fl
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, key: str = "point_id", start: float | None = None, same: bool = True) -> DataFrame:
     """mesh_id, key, other_id, d2, rank: the k nearest of ``points`` to each query, ties to the lower id.
 
-    The radius starts where about k neighbours are expected and doubles for the
-    queries that have not found k yet within it, so no query meets all points.
-    ``same`` leaves a point out of its own neighbours. Meshes with fewer than k
-    others give what there is.
+    The search is around the place of the points' box that is nearest to the
+    query, h away from it: what is farther than r from there is farther than
+    sqrt(r^2 + h^2) from the query, so a query far outside meets no more points
+    than one inside. The radius starts where about k neighbours are expected
+    and doubles for the queries that have not found k yet within it, so no
+    query meets all points. ``same`` leaves a point out of its own neighbours.
+    Meshes with fewer than k others give what there is.
     """
     from .components import checkpointed
 
-    box = points.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in AXES]).first()
-    spans = [box[c] or 0.0 for c in AXES]
-    reach = sum(s * s for s in spans) ** 0.5
+    boxes = points.groupBy("mesh_id").agg(
+        F.count(F.lit(1)).alias("_all"), *[F.min(c).alias(f"_lo{c}") for c in AXES], *[F.max(c).alias(f"_hi{c}") for c in AXES]
+    )
+    spans = [F.col(f"_hi{c}") - F.col(f"_lo{c}") for c in AXES]
+    widest = boxes.agg(F.sum("_all").alias("n"), *[F.max(s).alias(c) for c, s in zip(AXES, spans, strict=True)]).first()
+    sides = [widest[c] or 0.0 for c in AXES]
+    reach = sum(s * s for s in sides) ** 0.5
     if start is None:
-        live = [s for s in spans if s > 0] or [1.0]
+        live = [s for s in sides if s > 0] or [1.0]
         volume = 1.0
         for s in live:
             volume *= s
-        start = max((volume * (k + 1) / max(1, box["n"])) ** (1 / len(live)), 1e-12)
+        start = max((volume * (k + 1) / max(1, widest["n"] or 1)) ** (1 / len(live)), 1e-12)
+    inside = {c: F.least(F.greatest(F.col(c), F.col(f"_lo{c}")), F.col(f"_hi{c}")) for c in AXES}
+    open_ = (
+        queries.select("mesh_id", key, *AXES)
+        .join(F.broadcast(boxes), "mesh_id")
+        .withColumns({f"_q{c}": F.col(c) for c in AXES})
+        .withColumns(inside)
+        .withColumn("_h2", squared_distance("", "_q"))
+        .withColumn("_need", F.least(F.lit(k), F.col("_all") - (1 if same else 0)))
+        .select("mesh_id", key, *AXES, *[f"_q{c}" for c in AXES], "_h2", "_need")
+    )
     other = as_other(points)
-    open_ = queries.select("mesh_id", key, *AXES)
-    counts = points.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("_all"))
-    need = F.least(F.lit(k), F.col("_all") - (1 if same else 0))
     out = None
     radius = start
     order = Window.partitionBy("mesh_id", key).orderBy("d2", "other_id")
     while True:
-        found = within(open_, other, radius, ["mesh_id"])
+        last = radius > 2 * reach
+        found = within(open_, other, radius, ["mesh_id"]).withColumn("d2", squared_distance("_q"))
+        if not last:
+            found = found.where(F.col("d2") <= radius * radius + F.col("_h2"))
         if same:
             found = found.where(F.col(key) != F.col("other_id"))
-        ranked = found.select("mesh_id", key, "other_id", "d2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ranked = ranked.join(F.broadcast(counts), "mesh_id").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("mesh_id", key)))
-        last = radius > 2 * reach
-        ready = checkpointed((ranked if last else ranked.where(F.col("_n") >= need)).drop("_n", "_all"))
+        ranked = found.select("mesh_id", key, "other_id", "d2", "_need").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("mesh_id", key)))
+        ready = checkpointed((ranked if last else ranked.where(F.col("_n") >= F.col("_need"))).drop("_n", "_need"))
         out = ready if out is None else out.unionAll(ready)
         if last:
             return out

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import or_nan
 from ..mesh import CELL_KEYS, POINT_KEYS, MeshFrame
-from .geometry import cell_normals, centroids, point_normals
+from .cotangent import most_normal_offsets
+from .geometry import cell_normals, centroids
 from .kernels import MAX_TRIANGLES, XYZ
+from .proximity import nearest_triangles
 from .spatial import as_other, within
 from .topology import facets
 
@@ -32,48 +34,9 @@ def held_triangles(triangles: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarr
     return {m: (g.cell_id.to_numpy(), g[names].to_numpy().reshape(-1, 3, 3)) for m, g in rows.groupby("mesh_id")}
 
 
-def closest_on_triangles(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each point the place of the nearest triangle (first of equals), the nearest point on it and its distance."""
-    a, b, c = t[:, 0], t[:, 1], t[:, 2]
-    n = np.cross(b - a, c - a)
-    u = n / np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
-    height = ((p[:, None] - a[None]) * u[None]).sum(2)
-    foot = p[:, None] - height[..., None] * u[None]
-    inside = np.ones(height.shape, bool)
-    best, at = np.full(height.shape, np.inf), np.zeros((*height.shape, 3))
-    for s, e in ((a, b), (b, c), (c, a)):
-        inside &= np.einsum("ijk,jk->ij", np.cross((e - s)[None], foot - s[None]), u) >= 0
-        d = e - s
-        w = np.clip(((p[:, None] - s[None]) * d[None]).sum(2) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
-        q = s[None] + w[..., None] * d[None]
-        length = np.linalg.norm(p[:, None] - q, axis=2)
-        nearer = length < best
-        best, at = np.where(nearer, length, best), np.where(nearer[..., None], q, at)
-    best, at = np.where(inside, np.abs(height), best), np.where(inside[..., None], foot, at)
-    k = best.argmin(1)
-    rows = np.arange(len(p))
-    return k, at[rows, k], best[rows, k]
-
-
 def closest_points(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """mesh_id, point_id, cell_id, qx, qy, qz, distance: the nearest point on a triangle surface, and the triangle it is on."""
-    held = held_triangles(triangles)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for mesh, g in b.groupby("mesh_id"):
-                if mesh not in held:
-                    continue
-                ids, t = held[mesh]
-                for lo in range(0, len(g), 64):
-                    part = g.iloc[lo : lo + 64]
-                    k, q, d = closest_on_triangles(part[XYZ].to_numpy(), t)
-                    out.append(pd.DataFrame({"mesh_id": mesh, "point_id": part.point_id, "cell_id": ids[k], "qx": q[:, 0], "qy": q[:, 1], "qz": q[:, 2], "distance": d}))
-            if out:
-                yield pd.concat(out)
-
-    return points.select(*POINT_KEYS, *XYZ).mapInPandas(run, "mesh_id string, point_id bigint, cell_id bigint, qx double, qy double, qz double, distance double")
+    return nearest_triangles(points, triangles).drop("side")
 
 
 def shrinkwrap(points: DataFrame, triangles: DataFrame, weight: float = 1.0, max_distance: float = 0.0) -> DataFrame:
@@ -128,10 +91,10 @@ def thickness(triangles: DataFrame, inward: bool = True) -> DataFrame:
 
 
 def offset_points(mesh: MeshFrame, distance: float) -> MeshFrame:
-    """The surface moved along its point normals."""
-    n = point_normals(mesh)
-    moved = {c: F.col(c) + distance * F.coalesce(F.col(f"n{c}"), F.lit(0.0)) for c in XYZ}
-    return mesh.with_(points=mesh.points.join(n, POINT_KEYS, "left").withColumns(moved).drop("nx", "ny", "nz"))
+    """The surface moved so that the plane of every face moves by ``distance``: each point along its most-normal normal."""
+    n = most_normal_offsets(mesh)
+    moved = {c: F.col(c) + distance * F.coalesce(F.col(f"m{c}"), F.lit(0.0)) for c in XYZ}
+    return mesh.with_(points=mesh.points.join(n, POINT_KEYS, "left").withColumns(moved).drop("mx", "my", "mz"))
 
 
 def thicken(mesh: MeshFrame, distance: float) -> MeshFrame:

@@ -37,8 +37,8 @@ def unique_edges(cells: DataFrame) -> DataFrame:
 
 def extract_surface(cells: DataFrame) -> DataFrame:
     """Facets used exactly once by cells of the top dimension: mesh_id, cell_id (parent), facet, nodes."""
-    top = F.max(dimension(F.col("cell_type"))).over(Window.partitionBy("mesh_id"))
-    solid = cells.withColumn("_top", top).where(dimension(F.col("cell_type")) == F.col("_top"))
+    top = cells.groupBy("mesh_id").agg(F.max(dimension(F.col("cell_type"))).alias("_top"))
+    solid = cells.join(F.broadcast(top), "mesh_id").where(dimension(F.col("cell_type")) == F.col("_top"))
     once = (
         facets(solid)
         .groupBy("mesh_id", "key")
@@ -50,12 +50,12 @@ def extract_surface(cells: DataFrame) -> DataFrame:
 
 def surface_mesh(mesh: MeshFrame) -> MeshFrame:
     """The surface as a mesh of its own: used points, and cells numbered by parent and facet."""
-    number = F.row_number().over(Window.partitionBy("mesh_id").orderBy("parent", "facet")) - 1
+    from .ordering import numbered
+
     n = F.size("nodes")
     kind = F.when(n == 1, "vertex").when(n == 2, "line").when(n == 3, "triangle").otherwise("quad")
-    made = extract_surface(mesh.cells).withColumnRenamed("cell_id", "parent").select(
-        "mesh_id", number.cast("bigint").alias("cell_id"), kind.alias("cell_type"), "nodes", "parent", "facet"
-    )
+    rows = extract_surface(mesh.cells).withColumnRenamed("cell_id", "parent")
+    made = numbered(rows, ["parent", "facet"], "cell_id").select("mesh_id", "cell_id", kind.alias("cell_type"), "nodes", "parent", "facet")
     used = made.select("mesh_id", F.explode("nodes").alias("point_id")).distinct()
     return MeshFrame(mesh.points.join(used, POINT_KEYS, "left_semi"), made)
 
@@ -153,19 +153,58 @@ def numbered_components(components: DataFrame) -> DataFrame:
     return components.join(roots.withColumn("component", number), ["mesh_id", "root"]).drop("root")
 
 
-def remove_islands(mesh: MeshFrame, min_cells: int) -> MeshFrame:
-    """Without components of fewer cells."""
-    parts = cell_components(mesh)
-    large = parts.groupBy("mesh_id", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_cells)
+def edge_components(mesh: MeshFrame) -> DataFrame:
+    """As ``cell_components``, by shared edges: points alone do not tie cells."""
+    uses = edges(mesh.cells).select("mesh_id", "cell_id", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    first = uses.groupBy("mesh_id", "lo", "hi").agg(F.min("cell_id").alias("b"))
+    links = uses.join(first, ["mesh_id", "lo", "hi"]).where("cell_id <> b").select("mesh_id", F.col("cell_id").alias("a"), "b")
+    labels = connected_components(links, ["mesh_id"])
+    named = mesh.cells.select(*CELL_KEYS).join(labels.withColumnRenamed("node", "cell_id"), CELL_KEYS, "left")
+    return named.select(*CELL_KEYS, F.coalesce("component", "cell_id").alias("root"))
+
+
+def remove_islands(mesh: MeshFrame, min_cells: int = 0, min_area: float = 0.0, min_diagonal: float = 0.0, min_share: float = 0.0, connectivity: str = "point") -> MeshFrame:
+    """Without components that are too small by any criterion that is over 0.
+
+    Cells, summed length, area or volume, the diagonal of the box, or the share
+    of the largest component's cells; components hang together by points or by
+    edges.
+    """
+    from .geometry import with_measure
+
+    parts = cell_components(mesh) if connectivity == "point" else edge_components(mesh)
+    sized = parts.groupBy("mesh_id", "root").agg(F.count(F.lit(1)).alias("n"))
+    if min_area > 0:
+        sums = parts.join(with_measure(mesh).select(*CELL_KEYS, F.abs("measure").alias("m")), CELL_KEYS).groupBy("mesh_id", "root").agg(F.sum("m").alias("m"))
+        sized = sized.join(sums.where(F.col("m") >= min_area).drop("m"), ["mesh_id", "root"])
+    if min_diagonal > 0:
+        at = mesh.incidence().join(parts, CELL_KEYS).join(mesh.points.select(*POINT_KEYS, "x", "y", "z"), POINT_KEYS)
+        spans = at.groupBy("mesh_id", "root").agg(F.sqrt(sum(((F.max(c) - F.min(c)) ** 2 for c in "xyz"), F.lit(0.0))).alias("d"))
+        sized = sized.join(spans.where(F.col("d") >= min_diagonal).drop("d"), ["mesh_id", "root"])
+    if min_share > 0:
+        largest = sized.groupBy("mesh_id").agg(F.max("n").alias("most"))
+        sized = sized.join(F.broadcast(largest), "mesh_id").where(F.col("n") >= min_share * F.col("most"))
+    large = sized.where(F.col("n") >= min_cells)
     kept = parts.join(large, ["mesh_id", "root"], "left_semi").select(*CELL_KEYS)
     return mesh.with_(cells=mesh.cells.join(kept, CELL_KEYS, "left_semi"))
 
 
-def smooth(mesh: MeshFrame, iterations: int = 1, weight: float = 0.5, fixed: DataFrame | None = None) -> DataFrame:
-    """Points after Laplacian steps towards the mean of their neighbours; ``fixed`` (mesh_id, point_id) and lone points stay."""
+def smooth(mesh: MeshFrame, iterations: int = 1, weight: float = 0.5, fixed: DataFrame | None = None, back: float | None = None) -> DataFrame:
+    """Points after Laplacian steps towards the mean of their neighbours; ``fixed`` (mesh_id, point_id) and lone points stay.
+
+    With ``back`` (Taubin, negative) each step is followed by one of that
+    weight, which undoes the shrinking. Lineage is cut every few steps.
+    """
+    from .components import checkpointed
+
     graph = adjacency(mesh.cells, "node")
     points = mesh.points
-    for _ in range(iterations):
+    weights = [w for _ in range(iterations) for w in ((weight,) if back is None else (weight, back))]
+    if len(weights) > 2:
+        graph = checkpointed(graph)
+    for step, weight in enumerate(weights):
+        if step % 4 == 3:
+            points = checkpointed(points)
         near = graph.join(points.select("mesh_id", F.col("point_id").alias("dst"), "x", "y", "z"), ["mesh_id", "dst"])
         mean = near.groupBy("mesh_id", F.col("src").alias("point_id")).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
         if fixed is not None:

@@ -789,9 +789,9 @@ def convex_hull_2d(spark, d):
 
 
 @query(HEX + "SELECT point_id, x + y + z AS distance FROM pts")
-def geodesic_distance(spark, d):
+def edge_distance(spark, d):
+    from ..operators.kernels import edge_distance as run
     from ..operators.kernels import edge_lengths
-    from ..operators.kernels import geodesic_distance as run
 
     mesh = lattice(spark, DIMS)
     start = mesh.points.where("point_id = 0").select("mesh_id", "point_id")
@@ -809,13 +809,6 @@ def compute_sdf(spark, d):
     return rounded(signed_distance(inner, flat.with_corners()).drop("mesh_id"))
 
 
-@query("SELECT 0 AS mode, 0.0::DOUBLE AS value")
-def laplacian_eigenmodes(spark, d):
-    from ..operators.kernels import laplacian_eigenmodes as run
-
-    return rounded(run(Y.adjacency(lattice(spark, (7, 6)).cells), 1).drop("mesh_id"))
-
-
 # Fields
 
 

@@ -61,8 +61,8 @@ def rows_of(mesh_id: str, raw: RawMesh, arrays: list[str] | None) -> Iterator[pa
         yield batch(f"region:{kind}", list(entries), name=[name] * len(entries), tag=[tag] * len(entries))
 
 
-def read_rows(spark: SparkSession, paths: str | list[str], format_: str | None = None, arrays: list[str] | None = None) -> DataFrame:
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+def decoded_rows(files: DataFrame, format_: str | None = None, arrays: list[str] | None = None) -> DataFrame:
+    """Typed rows of the meshes in ``files`` (path or mesh_id, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,9 +72,39 @@ def read_rows(spark: SparkSession, paths: str | list[str], format_: str | None =
     return files.mapInArrow(run, ROW)
 
 
+def read_rows(spark: SparkSession, paths: str | list[str], format_: str | None = None, arrays: list[str] | None = None) -> DataFrame:
+    return decoded_rows(spark.read.format("binaryFile").load(paths).select("path", "content"), format_, arrays)
+
+
 def read_mesh(spark: SparkSession, paths: str | list[str], format_: str | None = None, arrays: list[str] | None = None, points_only: bool = False) -> MeshFrame:
     """Every file as one mesh, ``mesh_id`` its path; data come as the map column ``data``."""
-    rows = read_rows(spark, paths, format_, arrays)
+    return mesh_of(read_rows(spark, paths, format_, arrays), points_only)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """path, place, time and name of the files that a PVD, PVTU or VTM index names, relative ones beside the index."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for own, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                folder = own.rsplit("/", 1)[0]
+                for k, (ref, time, name) in enumerate(vtk_formats.piece_references(content.as_py())):
+                    rows.append((ref if ref.startswith("/") or "://" in ref else f"{folder}/{ref}", k, time, name))
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "place", "time", "name"])
+
+    return files.mapInArrow(run, "path string, place bigint, time double, name string")
+
+
+def read_indexed(spark: SparkSession, path: str, arrays: list[str] | None = None) -> MeshFrame:
+    """The files that an index names, each a mesh; the index has a row for each file, so its paths are collected."""
+    return read_mesh(spark, [r["path"] for r in read_index(spark, path).orderBy("place").collect()], None, arrays)
+
+
+def mesh_of(rows: DataFrame, points_only: bool = False) -> MeshFrame:
+    """Typed rows as a mesh."""
     points = rows.where("kind = 'point'").select("mesh_id", F.col("id").alias("point_id"), "x", "y", "z", *([] if points_only else ["data"]))
     cells = rows.where("kind = 'cell'").select("mesh_id", F.col("id").alias("cell_id"), "cell_type", "nodes", *([] if points_only else ["data"]))
     regions = rows.where("kind like 'region:%'").select(

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from lattica.plans import formats  # noqa: F401  adds its queries and those of the terrain
 from lattica.plans.catalog import QUERIES, SQL
 
 

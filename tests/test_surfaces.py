@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lattica.operators import surfaces as U
+from lattica.operators.proximity import nearest_on
 
 
 def cloud(spark, rows, mesh="m"):
@@ -50,7 +51,9 @@ def test_closest_points_against_a_dense_sample():
     rng = np.random.default_rng(0)
     t = rng.random((5, 3, 3))
     p = rng.random((20, 3)) * 2 - 0.5
-    _, q, d = U.closest_on_triangles(p, t)
+    each = [nearest_on(np.repeat(p[k : k + 1], len(t), 0), t) for k in range(len(p))]
+    first = [int(e[1].argmin()) for e in each]
+    q, d = (np.array([e[i][k] for e, k in zip(each, first, strict=True)]) for i in (0, 1))
     w = np.array([(i, j, 60 - i - j) for i, j in itertools.product(range(61), repeat=2) if i + j <= 60]) / 60
     dense = np.einsum("wk,tkc->twc", w, t).reshape(-1, 3)
     want = np.linalg.norm(p[:, None] - dense[None], axis=2).min(1)
