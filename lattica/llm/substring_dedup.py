@@ -3,20 +3,25 @@
 A window is WINDOW consecutive words. A word goes when a window that covers it
 has a word sequence that starts earlier as well.
 
-1. Pruning. Only suffixes that may repeat are dealt out. Every window picks the
-   smallest hash among the ANCHOR-word sequences inside it, its anchor; equal
-   windows pick equal anchors, so a window whose anchor is unique is unique. The
-   anchors of all documents are counted, and those that occur again are kept in
-   a bitmap of FILTER_BITS bits.
-2. Prefixes. The other suffixes, cut off at WINDOW words since nothing deeper
-   matters, are split by their first PREFIXES[0] words. Groups of over ``limit``
-   suffixes are split again by longer prefixes, up to the whole window.
-3. Trees. A group fits in memory: its suffixes are sorted and a stack over the
-   words that neighbours have in common gives the internal nodes of its subtree.
-   A node as deep as the window is a repeat, and its leaves but the first are
-   runs that go. A group whose prefix is the whole window is such a node: its
-   first leaf comes from an aggregate that combines before it is shuffled.
-4. Maximal repeats. Runs of window starts that follow one another are one
+1. Anchors. Every window picks the smallest hash among the PREFIX-word sequences
+   inside it, its anchor; equal windows pick equal anchors, at the same place in
+   them. So windows are dealt by the suffix that starts at their anchor, which
+   stands for about eight of them, and equal windows meet where these suffixes
+   have the same prefix.
+2. Pruning. The prefixes of all documents are counted. Those that occur again,
+   and those that occur over ``limit`` times, are kept in two bitmaps of
+   FILTER_BITS bits; windows whose anchor is unique are unique and left out.
+3. Trees. The windows of the documents are split by prefixes of PREFIX words
+   into groups, each with the words around its anchors. The suffixes of a group
+   are sorted, and the words that neighbours have in common give the internal
+   nodes of its tree. A node as deep as the window is a repeat, and its leaves
+   but the first go.
+4. Longer prefixes. Suffixes whose prefix occurs over ``limit`` times are split
+   by the whole window instead (two 64-bit hashes of it), so each group is one
+   deep node and only its first leaf is needed: an aggregate that combines
+   before it is shuffled. A slot of the bitmap that several prefixes share only
+   sends more windows this way, which changes no result.
+5. Maximal repeats. Runs of window starts that follow one another are one
    passage, as long as it repeats.
 """
 
@@ -28,19 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, words_of, written
 
 WINDOW = 20
-ANCHOR = 6
-#: Words of the prefixes by which suffixes are split, before the whole window.
-PREFIXES = (6, 12)
-#: Suffixes of a group up to which its tree is built in memory (about 5 MB).
+PREFIX = 6
+#: Anchors with the same prefix up to which a tree is built in memory (about 5 MB), and words of the groups taken together.
 GROUP_LIMIT = 16_384
-#: Bits of the filter of anchors: 8 MB, whatever the input.
+TREE_WORDS = 500_000
+#: Bits of each filter of prefixes: 8 MB, whatever the input; bytes of a bucket of the bitmap functions.
 FILTER_BITS = 1 << 26
+BUCKET = 4096
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -68,8 +73,8 @@ def anchors(code: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
     if len(code) < window:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    grams = rolled(code, ANCHOR, _M1)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window - ANCHOR + 1)
+    grams = rolled(code, PREFIX, _M1)
+    view = np.lib.stride_tricks.sliding_window_view(grams, window - PREFIX + 1)
     place = np.arange(len(view)) + view.argmin(1)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.concatenate((first[1:] - 1, [len(place) - 1]))
@@ -90,184 +95,204 @@ def anchor_counts(docs: DataFrame, window: int) -> DataFrame:
     return map_rows(docs.select("text"), make, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def repeated_anchors(docs: DataFrame, window: int, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of ``bits`` bits with the slot of each anchor that occurs again. It is all that the driver gets."""
+def bitmaps(counts: DataFrame, limit: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of the anchors that occur again, and of those that occur over ``limit`` times.
+
+    Two bitmaps of ``bits`` bits are all that the driver gets.
+    """
     slot = F.pmod("key", F.lit(bits)) + 1
-    again = anchor_counts(docs, window).where("n > 1")
-    rows = again.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros(max(bits // 8, BUCKET), np.uint8)
-    for r in rows.collect():
-        out[(r["bucket"] - 1) * BUCKET :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    crowded = F.col("n") > limit
+    rows = counts.where("n > 1").groupBy(crowded.alias("crowded"), F.bitmap_bucket_number(slot).alias("bucket"))
+    out = tuple(np.zeros(max(bits // 8, BUCKET), np.uint8) for _ in range(2))
+    for r in rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect():
+        own = np.frombuffer(r["bits"], np.uint8)
+        for bitmap in out if r["crowded"] else out[:1]:
+            bitmap[(r["bucket"] - 1) * BUCKET :][: len(own)] |= own
     return out
 
 
-#: Bytes of a bucket of the bitmap functions.
-BUCKET = 4096
+def marked(key: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the slot of each anchor is set."""
+    slot = (key % np.uint64(bits)).astype(np.int64)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def repeating(key: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    """The places of the anchors whose slot is set."""
-    slot = (key % np.uint64(bits)).astype(np.int64)
-    return np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+SUFFIXES = "key long, key2 long, doc_id long, mark long, lo int, hi int, words string"
 
 
-def suffix_rows(docs: DataFrame, window: int, bitmap: np.ndarray, bits: int) -> DataFrame:
-    """The suffixes that may repeat, cut off at ``window`` words: key, doc_id, mark, lo, hi, words.
+def suffix_rows(docs: DataFrame, window: int, repeated: np.ndarray, crowded: np.ndarray, bits: int) -> DataFrame:
+    """The windows that may repeat, lo to hi, by what they are compared with.
 
-    ``key`` hashes the first PREFIXES[0] words. Of suffixes of one slice with
-    the same words only the first has them (lo = hi): the others are repeats
-    already, and come as runs with null instead.
+    * ``words`` given: all windows of one anchor, whose prefix is ``key``;
+    * ``key2`` given: one window of a crowded prefix, by its two hashes;
+    * neither: windows that repeat for certain, since the same words came
+      earlier in the slice.
     """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            seen: set[str] = set()
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            seen: set = set()
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")]
+
+            def add(*row) -> None:
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+
             for doc, mark, text in sorted(set(zip(*columns, strict=True))):
                 words = words_of(text)
                 code = codes(words)
                 key, _, first, last = anchors(code, window)
-                hits = repeating(key, bitmap, bits)
+                hits = np.flatnonzero(marked(key, repeated, bits))
                 if not len(hits):
                     continue
-                heads = rolled(code, PREFIXES[0], _M1).view(np.int64)
-                line = " ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                begins = np.concatenate(([0], ends))
-                starts = np.concatenate([np.arange(first[k], last[k] + 1) for k in hits.tolist()])
-                places = zip(starts.tolist(), heads[starts].tolist(), begins[starts].tolist(), (ends[starts + window - 1] - 1).tolist(), strict=True)
-                run = None
-                for at, head, a, b in places:
-                    suffix = line[a:b]
-                    if suffix not in seen:
-                        seen.add(suffix)
-                        row = (head, doc, mark, at, at, suffix)
-                        run = None
-                    elif run == at - 1:
-                        out[4][-1] = run = at
+                many = marked(key, crowded, bits)
+                a, b = (rolled(code, window, _M1), rolled(code ^ _M1, window, _M2)) if many.any() else (None, None)
+                for k in hits.tolist():
+                    lo, hi = int(first[k]), int(last[k])
+                    if not many[k]:
+                        context = " ".join(words[lo : hi + window])
+                        if context in seen:
+                            add(None, None, doc, mark, lo, hi, None)
+                        else:
+                            seen.add(context)
+                            add(int(key[k].view(np.int64)), None, doc, mark, lo, hi, context)
                         continue
-                    else:
-                        row, run = (None, doc, mark, at, at, None), at
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "doc_id", "mark", "lo", "hi", "words"])
+                    run = None
+                    for at, pair in enumerate(zip(a[lo : hi + 1].view(np.int64).tolist(), b[lo : hi + 1].view(np.int64).tolist(), strict=True), lo):
+                        if pair not in seen:
+                            seen.add(pair)
+                            add(*pair, doc, mark, at, at, None)
+                        elif run == at - 1:
+                            out[5][-1] = run = at
+                            continue
+                        else:
+                            add(None, None, doc, mark, at, at, None)
+                            run = at
+                            continue
+                        run = None
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            names = ["key", "key2", "doc_id", "mark", "lo", "hi", "words"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
         return step
 
-    return map_rows(docs.select("doc_id", "mark", "text"), make, "key long, doc_id long, mark long, lo int, hi int, words string")
+    return map_rows(docs.select("doc_id", "mark", "text"), make, SUFFIXES)
 
 
-Node = tuple[int, int, int]
+def common_words(suffixes: np.ndarray) -> np.ndarray:
+    """How many words each of the sorted suffixes has in common with the one before; the first has none."""
+    same = suffixes[1:] == suffixes[:-1]
+    return np.concatenate(([0], np.cumprod(same, axis=1).sum(1)))
 
 
-def deep_nodes(suffixes: list[list[str]], depth: int) -> Iterator[Node]:
-    """(depth, first, last) of the internal nodes at least ``depth`` words deep of the tree of sorted suffixes.
+def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last leaf of the internal nodes that are as deep as ``depth`` but for what lies below them.
 
-    A node is an interval of suffixes that have its words in common. Suffixes
-    are opened as leaves one after the other, and the nodes that the next one
-    does not share are closed.
+    Such a node is a run of sorted suffixes of which each has ``depth`` words
+    in common with the one before.
     """
-    stack: list[tuple[int, int]] = []
-    for k in range(len(suffixes)):
-        common = 0
-        if k + 1 < len(suffixes):
-            a, b = suffixes[k], suffixes[k + 1]
-            if a == b:
-                common = len(a)
-            else:
-                for x, y in zip(a, b, strict=False):
-                    if x != y:
-                        break
-                    common += 1
-        begin = k
-        while stack and stack[-1][0] > common:
-            deep, begin = stack.pop()
-            if deep >= depth:
-                yield deep, begin, k
-        if common and (not stack or stack[-1][0] < common):
-            stack.append((common, begin))
-
-
-Place = tuple[int, int, int]
-
-
-def tree_repeats_of(group: list[tuple[str, Place]], window: int) -> list[Place]:
-    """(doc_id, mark, start) of the leaves of deep nodes but the first, from the suffixes of one group in any order."""
-    group = sorted(group)
-    found: list[Place] = []
-    suffixes = [words.split(" ") for words, _ in group]
-    for _, first, last in deep_nodes(suffixes, window):
-        leaves = [place for _, place in group[first : last + 1]]
-        least = min(leaves)
-        found += [place for place in leaves if place != least]
-    return found
-
-
-def _runs_batch(found: list[Place]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32())
-    doc_id, mark, start = (pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))
-    return pa.RecordBatch.from_arrays([doc_id, mark, start, start], ["doc_id", "mark", "lo", "hi"])
+    deep = common >= depth
+    first = np.flatnonzero(~deep[:-1] & deep[1:]) if len(deep) else np.zeros(0, int)
+    last = np.flatnonzero(deep & np.append(~deep[1:], True))
+    return first, last
+
+
+Row = tuple[int, int, int, int, list[str]]
+
+
+def repeated_suffixes(rows: list[Row], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(doc_id, mark, lo, hi) of each run of suffixes that hang from a deep node but are not its first leaf.
+
+    ``rows`` are (doc_id, mark, lo, hi, words) of whole groups in any order.
+    """
+    rows = sorted(rows, key=lambda r: r[:3])
+    lengths = np.array([len(r[4]) for r in rows])
+    begins = np.cumsum(lengths) - lengths
+    word = np.unique(codes([w for r in rows for w in r[4]]), return_inverse=True)[1].astype(">u4")
+    counts = np.array([r[3] - r[2] + 1 for r in rows])
+    row = np.repeat(np.arange(len(rows)), counts)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    # suffixes in document order, cut off at the depth that matters
+    suffixes = word[(begins[row] + offset)[:, None] + np.arange(window)]
+    order = np.argsort(np.ascontiguousarray(suffixes).view(f"V{4 * window}").ravel(), kind="stable")
+    first, last = deep_nodes(common_words(suffixes[order]), window)
+    again = np.zeros(len(row), bool)
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        leaves = order[a : b + 1]
+        least = leaves.min()
+        own = rows[row[least]][:2], offset[least] + rows[row[least]][2]
+        # the same row twice is one document
+        again[[x for x in leaves.tolist() if (rows[row[x]][:2], offset[x] + rows[row[x]][2]) != own]] = True
+    hits = np.flatnonzero(again)
+    if not len(hits):
+        return
+    for run in np.split(hits, np.flatnonzero((np.diff(hits) != 1) | (np.diff(row[hits]) != 0)) + 1):
+        doc, mark, lo, _, _ = rows[row[run[0]]]
+        yield doc, mark, lo + int(offset[run[0]]), lo + int(offset[run[-1]])
 
 
 RUN = "doc_id long, mark long, lo int, hi int"
 
 
+def _runs(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], ["doc_id", "mark", "lo", "hi"])
+
+
 def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, mark, lo and hi of the repeats, from a tree over each whole group of suffixes."""
+    """doc_id, mark, lo and hi of the repeated runs, from trees over whole groups of suffixes with the same prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[str, Place]] = []
-        last = None
+        group: list[Row] = []
+        seen: dict[str, tuple] = {}
+        size, last = 0, None
         for batch in batches:
-            found: list[Place] = []
-            for key, doc, mark, at, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last:
-                    if len(group) > 1:
-                        found += tree_repeats_of(group, window)
-                    group, last = [], key
-                group.append((words, (doc, mark, at)))
-            yield _runs_batch(found)
-        yield _runs_batch(tree_repeats_of(group, window))
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                copies: list[tuple[int, int, int, int]] = []
+                for key, doc, mark, lo, hi, words in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if key != last:
+                        seen.clear()
+                        if size >= TREE_WORDS:
+                            yield _runs(list(repeated_suffixes(group, window)))
+                            group, size = [], 0
+                    last = key
+                    # the same words again: every suffix hangs from a node that has an earlier leaf
+                    if words in seen:
+                        if seen[words] != (doc, mark, lo):
+                            copies.append((doc, mark, lo, hi))
+                        continue
+                    seen[words] = (doc, mark, lo)
+                    own = words.split(" ")
+                    size += len(own)
+                    group.append((doc, mark, lo, hi, own))
+                yield _runs(copies)
+        yield _runs(list(repeated_suffixes(group, window)) if group else [])
 
-    dealt = rows.select("key", "doc_id", "mark", "lo", "words").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, RUN)
+    dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id", "mark", "lo")
+    return dealt.select("key", "doc_id", "mark", "lo", "hi", "words").mapInArrow(run, RUN)
 
 
 def leaf_repeats(rows: DataFrame) -> DataFrame:
     """The leaves but the first of groups whose prefix is the whole window."""
     place = F.struct("doc_id", "mark", "lo")
-    first = rows.groupBy("words").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = rows.join(written(first, "leaves"), "words").where(place != F.col("first"))
+    first = rows.groupBy("key", "key2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written apart, so that the join is free to split a window that very many documents have
+    later = rows.join(written(first, "leaves"), ["key", "key2"]).where(place != F.col("first"))
     return later.select("doc_id", "mark", "lo", "hi")
 
 
-def _longer(words: int) -> Column:
-    """A hash of the first ``words`` words."""
-    return F.xxhash64(F.substring_index("words", " ", words))
-
-
 def repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, mark, lo and hi (inclusive) of the window starts that also start earlier.
 
     ``docs`` has doc_id, mark and text; documents are ordered by the first two.
     """
-    rows = written(suffix_rows(docs, window, repeated_anchors(docs, window, bits), bits), "suffixes")
-    found = rows.where("words is null").select("doc_id", "mark", "lo", "hi")
-    left = rows.where("words is not null")
-    for level in range(len(PREFIXES)):
-        if level:
-            left = left.withColumn("key", _longer(PREFIXES[level]))
-        # written apart, so that the join is free to split a prefix that very many suffixes have
-        sizes = written(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefixes")
-        small = left.join(sizes.where(F.col("n") <= limit).select("key"), "key", "left_semi")
-        found = found.unionAll(tree_repeats(small, window))
-        big = sizes.where(F.col("n") > limit).select("key")
-        if not big.limit(1).count():
-            return found
-        left = left.join(big, "key", "left_semi")
-    return found.unionAll(leaf_repeats(left))
+    repeated, crowded = bitmaps(anchor_counts(docs, window), limit, bits)
+    rows = written(suffix_rows(docs, window, repeated, crowded, bits), "suffixes")
+    certain = rows.where("key is null").select("doc_id", "mark", "lo", "hi")
+    trees = tree_repeats(rows.where("words is not null"), window)
+    return certain.unionAll(trees).unionAll(leaf_repeats(rows.where("key2 is not null").drop("words")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT, bits: int = FILTER_BITS) -> DataFrame:
