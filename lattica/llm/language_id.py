@@ -70,8 +70,8 @@ def sample(labelled: DataFrame, docs_each: int = SAMPLE_DOCS) -> dict[str, list[
     rows = labelled.where("lang is not null and text is not null and doc_id is not null")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").distinct()
-    chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_each).select("lang", "doc_id")
+    ids = rows.select("lang", "doc_id").withColumn("place", F.dense_rank().over(order))
+    chosen = ids.where(F.col("place") <= docs_each).select("lang", "doc_id").distinct()
     texts = rows.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
 
     def make():
