@@ -230,19 +230,22 @@ def eigenmodes(s: Surface, modes: int, rounds: int = 60, tolerance: float = 1e-8
     return np.maximum(values[:modes], 0), x[:, :modes]
 
 
+_NODES = ["_a", "_b", "_c"]
+
+
 def _in_hand(points: DataFrame, triangles: DataFrame, columns: list[str]) -> DataFrame:
     """Points and triangles of each mesh as rows of one table, for a grouped map."""
-    p = points.select("mesh_id", F.lit(0).alias("kind"), F.col("point_id").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c"), *[F.col(x).cast("double").alias(x) for x in columns])
+    p = points.select("mesh_id", F.lit(0).alias("_kind"), F.col("point_id").alias("_a"), F.lit(0).cast("bigint").alias("_b"), F.lit(0).cast("bigint").alias("_c"), *[F.col(x).cast("double").alias(x) for x in columns])
     nodes = F.col("nodes")
-    t = triangles.where("cell_type = 'triangle'").select("mesh_id", F.lit(1).alias("kind"), *[nodes.getItem(k).alias(n) for k, n in enumerate("abc")], *[F.lit(None).cast("double").alias(x) for x in columns])
+    t = triangles.where("cell_type = 'triangle'").select("mesh_id", F.lit(1).alias("_kind"), *[nodes.getItem(k).alias(n) for k, n in enumerate(_NODES)], *[F.lit(None).cast("double").alias(x) for x in columns])
     return p.unionAll(t)
 
 
 def _surface(g: pd.DataFrame) -> tuple[pd.DataFrame, Surface]:
-    rows = g[g.kind == 1]
-    used = np.unique(rows[["a", "b", "c"]].to_numpy())
-    p = g[(g.kind == 0) & g.a.isin(used)].sort_values("a").reset_index(drop=True)
-    t = np.searchsorted(p.a.to_numpy(), rows[["a", "b", "c"]].to_numpy())
+    rows = g[g["_kind"] == 1]
+    used = np.unique(rows[_NODES].to_numpy())
+    p = g[(g["_kind"] == 0) & g["_a"].isin(used)].sort_values("_a").reset_index(drop=True)
+    t = np.searchsorted(p["_a"].to_numpy(), rows[_NODES].to_numpy())
     return p, Surface(p[XYZ].to_numpy(float), t)
 
 
@@ -257,7 +260,7 @@ def geodesic_distance(mesh: MeshFrame, sources: DataFrame, time_factor: float =
         p, s = _surface(g)
         at = np.flatnonzero(p["_source"].to_numpy() > 0)
         d = heat_distance(s, at, time_factor) if len(at) else np.full(s.n, np.nan)
-        return pd.DataFrame({"mesh_id": g.mesh_id.iloc[0], "point_id": p.a, "distance": d})
+        return pd.DataFrame({"mesh_id": g.mesh_id.iloc[0], "point_id": p["_a"], "distance": d})
 
     rows = _in_hand(marked, mesh.cells, [*XYZ, "_source"])
     made = rows.groupBy("mesh_id").applyInPandas(one, "mesh_id string, point_id bigint, distance double")
@@ -275,7 +278,7 @@ def laplacian_eigenmodes(mesh: MeshFrame, modes: int = 10) -> DataFrame:
         values, x = eigenmodes(s, min(modes, s.n))
         x = x * np.where(x[np.abs(x).argmax(0), np.arange(x.shape[1])] < 0, -1, 1)
         k = np.repeat(np.arange(len(values)), s.n)
-        return pd.DataFrame({"mesh_id": g.mesh_id.iloc[0], "mode": k, "value": values[k], "point_id": np.tile(p.a, len(values)), "component": x.T.ravel()})
+        return pd.DataFrame({"mesh_id": g.mesh_id.iloc[0], "mode": k, "value": values[k], "point_id": np.tile(p["_a"], len(values)), "component": x.T.ravel()})
 
     return _in_hand(mesh.points, mesh.cells, XYZ).groupBy("mesh_id").applyInPandas(one, "mesh_id string, mode int, value double, point_id bigint, component double")
 
@@ -289,7 +292,7 @@ def sobolev_deform(mesh: MeshFrame, displacement: tuple[str, str, str], length_s
     def one(g: pd.DataFrame) -> pd.DataFrame:
         p, s = _surface(g)
         l2 = length_scale * length_scale
-        out = {"mesh_id": g.mesh_id.iloc[0], "point_id": p.a}
+        out = {"mesh_id": g.mesh_id.iloc[0], "point_id": p["_a"]}
         for c, n in zip(XYZ, names, strict=True):
             out[f"u{c}"] = conjugate_gradients(lambda x: s.mass * x + l2 * s.stiffness(x), s.mass * p[n].to_numpy(), s.mass + l2 * s.diagonal)
         return pd.DataFrame(out)
@@ -308,7 +311,7 @@ def morph(mesh: MeshFrame, displacement: DataFrame) -> DataFrame:
     def one(g: pd.DataFrame) -> pd.DataFrame:
         p, s = _surface(g)
         held = p["_held"].to_numpy() > 0
-        out = {"mesh_id": g.mesh_id.iloc[0], "point_id": p.a}
+        out = {"mesh_id": g.mesh_id.iloc[0], "point_id": p["_a"]}
         for c in XYZ:
             d = np.where(held, p[f"u{c}"].to_numpy(), 0.0)
             rhs = np.where(held, 0.0, -s.stiffness(d))

@@ -48,7 +48,7 @@ def _of_triangle(a: int = 0, b: int = 1, c: int = 2) -> list[list[Subset]]:
 def _of_tetra() -> list[list[Subset]]:
     """Four corners, and the octahedron between them in four about the line from the middle of 02 to that of 13."""
     ends = [[tuple(sorted({k, j})) for j in range(4)] for k in range(4)]
-    ring = [(0, 1), (0, 3), (2, 3), (1, 2)]
+    ring = [(0, 1), (1, 2), (2, 3), (0, 3)]
     inner = [[(0, 2), (1, 3), ring[k], ring[(k + 1) % 4]] for k in range(4)]
     return ends + inner
 
@@ -110,12 +110,6 @@ def tessellate(mesh: MeshFrame, levels: int = 2) -> DataFrame:
     The corners are the cell's shape functions at the lattice's places, so the
     pieces follow its curve. Other types are left out.
     """
-    c, t = F.col("corners"), F.col("cell_type")
-
-    def at(weights: list[float]) -> Column:
-        parts = [[c.getItem(k)[axis] * F.lit(float(w)) for k, w in enumerate(weights) if w] for axis in "xyz"]
-        return F.struct(*[sum(p[1:], p[0]).alias(axis) for axis, p in zip("xyz", parts, strict=True)])
-
     def triangle6(r: float, s: float) -> list[float]:
         q = 1 - r - s
         return [q * (2 * q - 1), r * (2 * r - 1), s * (2 * s - 1), 4 * q * r, 4 * r * s, 4 * s * q]
@@ -133,10 +127,16 @@ def tessellate(mesh: MeshFrame, levels: int = 2) -> DataFrame:
             if i + j < n - 1:
                 small.append([(i + 1, j), (i + 1, j + 1), (i, j + 1)])
     square = [[(i, j), (i + 1, j), (i + 1, j + 1), (i, j + 1)] for j in range(n) for i in range(n)]
-    build = lambda shape, pieces: F.array(*[F.array(*[at(shape(i / n, j / n)) for i, j in p]) for p in pieces])
-    pieces = F.when(t == "triangle6", build(triangle6, small)).when(t == "quad8", build(quad8, square))
-    rows = mesh.with_corners().where(t.isin("triangle6", "quad8"))
-    return rows.select("mesh_id", F.col("cell_id").alias("parent"), F.posexplode(pieces).alias("k", "corners"))
+    templates = [(kind, k, [shape(i / n, j / n) for i, j in p]) for kind, shape, pieces in (("triangle6", triangle6, small), ("quad8", quad8, square)) for k, p in enumerate(pieces)]
+    # at most 2 levels^2 rows of weights, whatever the mesh
+    table = mesh.cells.sparkSession.createDataFrame(templates, "cell_type string, k int, weights array<array<double>>")
+    rows = mesh.with_corners().join(F.broadcast(table), "cell_type")
+
+    def place(w: Column, axis: str) -> Column:
+        return F.aggregate(F.zip_with(w, F.col("corners"), lambda x, c: x * c[axis]), F.lit(0.0), lambda a, v: a + v)
+
+    corners = F.transform("weights", lambda w: F.struct(*[place(w, axis).alias(axis) for axis in "xyz"]))
+    return rows.select("mesh_id", F.col("cell_id").alias("parent"), "k", corners.alias("corners"))
 
 
 def poly_to_tet(polyhedra: DataFrame) -> DataFrame:
