@@ -71,9 +71,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("verb", choices=sorted({*STEPS, *REPORTS, "info", "convert", "run", "graph_file", "detect", "formats", "index", "generate", "verbs", "completion"}))
     parser.add_argument("input", nargs="?")
     parser.add_argument("output", nargs="?")
+    parser.add_argument("settings", nargs="?")
     parser.add_argument("--format", choices=sorted(FORMATS))
     parser.add_argument("--to", choices=sorted(FORMATS))
-    parser.add_argument("--settings")
     a, rest = parser.parse_known_args(argv)
     options = options_of(rest)
     if a.verb == "verbs":
