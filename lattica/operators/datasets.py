@@ -11,7 +11,7 @@ from ..mesh import POINT_KEYS, MeshFrame
 from .geometry import with_measure
 from .ordering import grid_points, random_points
 from .spatial import bucketed_pairs, k_nearest
-from .topology import adjacency
+from .topology import edges
 
 XYZ = ("x", "y", "z")
 
@@ -24,18 +24,25 @@ def edge_vectors(graph: DataFrame, points: DataFrame) -> DataFrame:
     return rows.select("mesh_id", "src", "dst", *[v.alias(f"d{c}") for c, v in zip(XYZ, d, strict=True)], F.sqrt(sum((v * v for v in d), F.lit(0.0))).alias("length"))
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """mesh_id, src, dst: each pair (a, b) in both directions, from one pass."""
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return pairs.select("mesh_id", F.inline(ends))
+
+
 def proximity_graph(points: DataFrame, radius: float | None = None, k: int | None = None) -> DataFrame:
     """mesh_id, src, dst, both ways: points at most ``radius`` apart, or each point with its k nearest and those it is near to."""
     if radius is not None:
-        pairs = bucketed_pairs(points, radius).select("mesh_id", F.col("a").alias("src"), F.col("b").alias("dst"))
-        return pairs.unionAll(pairs.select("mesh_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        return both_ways(bucketed_pairs(points, radius))
     near = k_nearest(points, points, k or 1).select("mesh_id", F.col("point_id").alias("src"), F.col("other_id").alias("dst"))
     return near.unionAll(near.select("mesh_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 def world_edges(mesh: MeshFrame, radius: float) -> DataFrame:
     """mesh_id, src, dst, both ways: points at most ``radius`` apart that no edge of the mesh joins."""
-    return proximity_graph(mesh.points, radius).join(adjacency(mesh.cells, "node"), ["mesh_id", "src", "dst"], "left_anti")
+    joined = edges(mesh.cells).select("mesh_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # the optimiser takes cells made of a range for small ones and would send all their edges to the driver
+    return both_ways(bucketed_pairs(mesh.points, radius).join(joined.hint("merge"), ["mesh_id", "a", "b"], "left_anti"))
 
 
 def bistride(graph: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:

@@ -286,3 +286,17 @@ def test_stream_of_windows(spark, small, tmp_path):
     query.stop()
     key = lambda df: sorted((r.event_type, str(r.start), r.n, round(r.total, 6)) for r in df.collect())
     assert key(spark.table("w")) == key(windowed(events, "1 day"))
+
+
+def test_world_edges_send_no_table_to_the_driver(spark):
+    from lattica.operators.datasets import world_edges
+
+    grid = N.grid(spark, (5, 4))
+    points = grid.points.withColumn("z", F.pmod(F.col("point_id") * 7, F.lit(4)) * 0.2)
+    out = world_edges(grid.with_(points=points), 1.5)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    at = {r.point_id: (r.x, r.y, r.z) for r in points.collect()}
+    joined = {(r.src, r.dst) for r in Y.adjacency(grid.cells).collect()}
+    want = {(i, j) for i, p in at.items() for j, q in at.items() if i != j and sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) <= 2.25 and (i, j) not in joined}
+    got = [(r.src, r.dst) for r in out.collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
