@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict, deque
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -204,38 +205,128 @@ def no_triangles() -> pd.DataFrame:
     return pd.DataFrame({"mesh_id": pd.Series([], dtype=str), **{c: pd.Series([], dtype="int64") for c in "abc"}})
 
 
+def along_curve(p: np.ndarray) -> np.ndarray:
+    """Places of points of the plane in Morton order, so that those inserted one after the other are near."""
+    low = p.min(0)
+    q = ((p - low) / max(np.ptp(p, axis=0).max(), 1e-300) * 65535).astype(np.uint64)
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        q = (q | q << np.uint64(shift)) & np.uint64(mask)
+    return np.argsort(q[:, 0] | q[:, 1] << np.uint64(1), kind="stable")
+
+
+class Triangulation:
+    """Delaunay triangles of distinct points, inserted one by one.
+
+    ``third`` has the point opposite each directed edge, whose key is
+    a * (n + 1) + b; n stands for the outside, so the hull is exact. A point is
+    found by a walk from the last one. Signs are exact: where rounding could
+    change one, it is worked out in fractions.
+    """
+
+    def __init__(self, p: np.ndarray):
+        self.n = len(p)
+        self.x, self.y = p[:, 0].tolist(), p[:, 1].tolist()
+        self.third: dict[int, int] = {}
+        first = next((k for k in range(2, self.n) if self.turn(0, 1, k)), None) if self.n > 2 else None
+        if first is None:
+            return
+        a, b, c = (0, 1, first) if self.turn(0, 1, first) > 0 else (1, 0, first)
+        for t in ((a, b, c), (b, a, self.n), (c, b, self.n), (a, c, self.n)):
+            self.put(*t)
+        self.last = (a, b, c)
+        for k in range(2, self.n):
+            if k != first:
+                self.insert(k)
+
+    def put(self, a: int, b: int, c: int) -> None:
+        m = self.n + 1
+        self.third[a * m + b], self.third[b * m + c], self.third[c * m + a] = c, a, b
+
+    def turn(self, a: int, b: int, c: int) -> float:
+        """Over 0 where a, b, c turn left, 0 on a line."""
+        x, y = self.x, self.y
+        left, right = (x[a] - x[c]) * (y[b] - y[c]), (y[a] - y[c]) * (x[b] - x[c])
+        d = left - right
+        if abs(d) > 4e-16 * (abs(left) + abs(right)):
+            return d
+        ax, ay, bx, by, cx, cy = (Fraction(v) for k in (a, b, c) for v in (x[k], y[k]))
+        d = (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+        return (d > 0) - (d < 0)
+
+    def holds(self, a: int, b: int, c: int, k: int) -> bool:
+        """Whether k is inside the circle around a, b, c, which for an edge of the hull is what lies beyond it."""
+        while a == self.n or b == self.n:
+            a, b, c = b, c, a
+        x, y = self.x, self.y
+        if c == self.n:
+            side = self.turn(a, b, k)
+            return side > 0 or (side == 0 and min(x[a], x[b]) <= x[k] <= max(x[a], x[b]) and min(y[a], y[b]) <= y[k] <= max(y[a], y[b]))
+        px, py = x[k], y[k]
+        adx, ady, bdx, bdy, cdx, cdy = x[a] - px, y[a] - py, x[b] - px, y[b] - py, x[c] - px, y[c] - py
+        bc, cb, ca, ac, ab, ba = bdx * cdy, cdx * bdy, cdx * ady, adx * cdy, adx * bdy, bdx * ady
+        al, bl, cl = adx * adx + ady * ady, bdx * bdx + bdy * bdy, cdx * cdx + cdy * cdy
+        d = al * (bc - cb) + bl * (ca - ac) + cl * (ab - ba)
+        if abs(d) > 1.2e-15 * (al * (abs(bc) + abs(cb)) + bl * (abs(ca) + abs(ac)) + cl * (abs(ab) + abs(ba))):
+            return d > 0
+        px, py = Fraction(px), Fraction(py)
+        (adx, ady), (bdx, bdy), (cdx, cdy) = ((Fraction(x[v]) - px, Fraction(y[v]) - py) for v in (a, b, c))
+        al, bl, cl = adx * adx + ady * ady, bdx * bdx + bdy * bdy, cdx * cdx + cdy * cdy
+        return al * (bdx * cdy - cdx * bdy) + bl * (cdx * ady - adx * cdy) + cl * (adx * bdy - bdx * ady) > 0
+
+    def insert(self, k: int) -> None:
+        third, m, n = self.third, self.n + 1, self.n
+        a, b, c = self.last
+        while c != n:
+            for u, v in ((a, b), (b, c), (c, a)):
+                if self.turn(u, v, k) < 0:
+                    a, b, c = v, u, third[v * m + u]
+                    break
+            else:
+                break
+        edges = [(a, b), (b, c), (c, a)]
+        for u, v in edges:
+            del third[u * m + v]
+        rim = []
+        while edges:
+            u, v = edges.pop()
+            w = third.get(v * m + u)
+            if w is None:
+                continue
+            if self.holds(v, u, w, k):
+                del third[v * m + u], third[u * m + w], third[w * m + v]
+                edges += [(u, w), (w, v)]
+            else:
+                rim.append((u, v))
+        for u, v in rim:
+            self.put(u, v, k)
+            if u != n and v != n:
+                self.last = (u, v, k)
+
+    def triangles(self) -> list[tuple[int, int, int]]:
+        m = self.n + 1
+        found = ((*divmod(e, m), c) for e, c in self.third.items())
+        return [(a, b, c) for a, b, c in found if a < b and a < c and max(b, c) < self.n]
+
+
 def delaunay_2d(points: DataFrame) -> DataFrame:
-    """mesh_id, a, b, c (a the least, counter-clockwise): the Delaunay triangles of each cloud in the xy plane, by insertion."""
+    """mesh_id, a, b, c (a the least, counter-clockwise): the Delaunay triangles of each cloud in the xy plane, by insertion.
+
+    Of points at one place the least identifier counts; those without a finite
+    place are left out. Points on one line have no triangles.
+    """
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("point_id").drop_duplicates(["x", "y"])
-        ids, p = g.point_id.to_numpy(), g[["x", "y"]].to_numpy(float)
-        n = len(p)
-        if n < 3:
+        g = g[np.isfinite(g[["x", "y"]].to_numpy(float)).all(1)].sort_values("point_id").drop_duplicates(["x", "y"])
+        if len(g) < 3:
             return no_triangles()
-        middle, span = p.mean(0), max(np.ptp(p, axis=0).max(), 1e-9)
-        q = np.vstack([p, middle + span * 1000 * np.array([[-1, -1], [1, -1], [0, 1]])])
-        triangles = {(n, n + 1, n + 2)}
-
-        def holds(t: tuple[int, int, int], k: int) -> bool:
-            m = q[list(t)] - q[k]
-            return np.linalg.det(np.c_[m, (m * m).sum(1)]) > 0
-
-        for k in range(n):
-            bad = [t for t in triangles if holds(t, k)]
-            rim = defaultdict(int)
-            for a, b, c in bad:
-                for e in ((a, b), (b, c), (c, a)):
-                    rim[e] += 1
-            triangles -= set(bad)
-            for a, b in [e for e in rim if (e[1], e[0]) not in rim]:
-                triangles.add((a, b, k))
-        out = []
-        for t in triangles:
-            if max(t) < n:
-                i = t.index(min(t, key=lambda v: ids[v]))
-                out.append([ids[t[(i + j) % 3]] for j in range(3)])
-        return pd.DataFrame(sorted(out), columns=["a", "b", "c"]).assign(mesh_id=g.mesh_id.iloc[0])[["mesh_id", "a", "b", "c"]]
+        p = g[["x", "y"]].to_numpy(float)
+        order = along_curve(p)
+        ids = g.point_id.to_numpy()[order]
+        t = ids[np.array(Triangulation(p[order]).triangles(), np.int64).reshape(-1, 3)]
+        least = t.argmin(1)
+        t = t[np.arange(len(t))[:, None], (least[:, None] + np.arange(3)) % 3]
+        t = t[np.lexsort((t[:, 2], t[:, 1], t[:, 0]))]
+        return pd.DataFrame({"mesh_id": g.mesh_id.iloc[0], "a": t[:, 0], "b": t[:, 1], "c": t[:, 2]}) if len(t) else no_triangles()
 
     return points.select(*POINT_KEYS, "x", "y").groupBy("mesh_id").applyInPandas(one, "mesh_id string, a bigint, b bigint, c bigint")
 

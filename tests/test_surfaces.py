@@ -66,3 +66,21 @@ def test_metric_limits_and_not_finite(spark):
     df = spark.createDataFrame(rows, "mesh_id string, cell_id bigint, " + ", ".join(f"{k} double" for k in keys))
     got = {r.cell_id: r for r in U.metric_from_hessian(df, 0.1, 0.1, 1.0).collect()}
     assert (got[0].m_xx, got[0].m_yy, got[0].m_zz) == pytest.approx((100, 1, 10)) and math.isnan(got[1].m_xx)
+
+
+def test_many_points_are_triangulated_in_time(spark):
+    import time
+
+    rows = scattered(20_000, 8)
+    began = time.perf_counter()
+    assert U.delaunay_2d(cloud(spark, rows)).count() > 39_000
+    assert time.perf_counter() - began < 60
+
+
+def test_triangulation_of_a_grid_and_copies(spark):
+    rows = [(x, y, 0) for x in range(7) for y in range(6)] * 2 + [(float("nan"), 0, 0), (1e9, 2.5, 0)]
+    got = [(r.a, r.b, r.c) for r in U.delaunay_2d(cloud(spark, rows)).collect()]
+    at = lambda k: rows[k][:2]
+    twice = [(at(b)[0] - at(a)[0]) * (at(c)[1] - at(a)[1]) - (at(b)[1] - at(a)[1]) * (at(c)[0] - at(a)[0]) for a, b, c in got]
+    assert min(twice) > 0 and {k for t in got for k in t} == {*range(42), 85}
+    assert sum(v for v in twice if v == 1) == 60 and len(got) == 2 * 43 - 2 - 19
