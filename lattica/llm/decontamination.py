@@ -4,9 +4,11 @@
    but for those in over MAX_SHARE of all documents, are the features; their
    document frequencies are counted over every document.
 2. A randomised singular value decomposition of the TF-IDF matrix of passages
-   gives the latent space. The passages are those of a bounded sample of
-   documents, by hash order, and all pieces; their products with the range are
-   taken in parallel and summed, so the driver holds features x RANK numbers.
+   gives the latent space. The passages are those of all documents and all
+   pieces; their products with the range are taken in parallel and summed in a
+   tree of tasks, as whole numbers of 2^-SUMMED, so the driver holds features x
+   RANK numbers and the order of adding changes nothing. Words are read once:
+   what follows works on their numbers in the benchmark.
 3. Every passage of every document is folded into the space, and pieces whose
    cosine reaches MIN_COSINE are candidates; so are those that have two
    neighbouring features in common with it, which no verbatim copy lacks.
@@ -18,7 +20,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, cut, map_rows, plain_words
+from .common import SLICE, map_rows, plain_words, written
 
 PIECE = 32
 #: Words of a block, and blocks of a passage: one starts at each block, and any piece lies within one.
 BLOCK, BLOCKS = 16, 3
 RANK, EXTRA, POWERS = 128, 16, 2
-#: Weight of the pieces among the passages, so that the space tells them apart.
-PIECE_WEIGHT = 20.0
-#: Documents whose passages the space is fitted to, and tasks that they are dealt to.
-SAMPLE_DOCS, SAMPLE_TASKS = 3000, 8
+#: Weight of the pieces among the passages of WEIGHED_DOCS documents, so that the space tells them apart in corpora of any size.
+PIECE_WEIGHT, WEIGHED_DOCS = 20.0, 3000
+#: Binary places of summed products, sums added by one task, and features of passages multiplied at a time.
+SUMMED, FAN_IN, CHUNK = 24, 16, 1 << 14
 MAX_SHARE = 0.1
 MIN_COSINE = 0.35
 PLAIN, ANSWERED = 0.7, 0.5
@@ -54,10 +55,15 @@ class Piece:
     answer: tuple[str, ...]
 
     def masks(self) -> dict[str, int]:
-        out: dict[str, int] = {}
-        for k, w in enumerate(self.words):
-            out[w] = out.get(w, 0) | 1 << k
-        return out
+        return word_masks(self.words)
+
+
+def word_masks(words: list) -> dict:
+    """The places of each word as bits."""
+    out: dict = {}
+    for k, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
 
 
 def pieces_of(items: list[tuple[int, str | None]]) -> list[Piece]:
@@ -84,33 +90,58 @@ def lcs(masks: dict[str, int], length: int, words: list[str]) -> int:
     return length - s.bit_count()
 
 
-def document_frequency(docs: DataFrame, vocabulary: frozenset[str]) -> tuple[int, dict[str, int]]:
+def encoded(docs: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """doc_id and ids: the number of each word of a text, -1 for words that no piece has, written to the shared folder."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for text in batch.column("text").to_pylist():
+                words = plain_words(text)
+                out.append(np.fromiter(map(numbers.get, words, repeat(-1)), "<i4", len(words)).tobytes())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+
+        return step
+
+    return written(map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary"), "coded")
+
+
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i4") for x in batch.column("ids").to_pylist()]
+
+
+def document_frequency(coded: DataFrame, words: int) -> tuple[int, np.ndarray]:
     """The number of documents, and how many have each word. At most one row a word is collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        n = 0
+        counts = np.zeros(words + 1, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                for text in batch.column("text").slice(i, SLICE).to_pylist():
-                    n += 1
-                    counts.update(vocabulary.intersection(plain_words(text)))
-        counts[""] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            for ids in _arrays(batch):
+                seen = np.unique(ids)
+                counts[seen[seen >= 0]] += 1
+            counts[words] += batch.num_rows
+        have = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array(counts[have], pa.int64())], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    found = {r[0]: r[1] for r in rows}
-    return found.pop("", 0), found
+    out = np.zeros(words + 1, np.int64)
+    for r in coded.select("ids").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r[0]] = r[1]
+    return int(out[words]), out[:words]
 
 
 @dataclass
 class Space:
-    """Features and their vectors in the latent space, weighted by idf; the pieces and their vectors.
+    """Vectors of the features in the latent space, weighted by idf; the pieces and their vectors.
 
-    ``pairs`` are the sorted codes of neighbouring features of the pieces, ``paired`` the piece of each.
+    ``feature`` has the feature of each word, -1 for none, and -1 at its end for
+    words that no piece has; ``words`` and ``answers`` are those of the pieces
+    in numbers. ``pairs`` are the sorted codes of neighbouring features of the
+    pieces, ``paired`` the piece of each.
     """
 
-    index: dict[str, int]
+    feature: np.ndarray
+    words: list[list[int]]
+    answers: list[list[int]]
     vectors: np.ndarray
     pieces: list[Piece]
     queries: np.ndarray
@@ -118,11 +149,11 @@ class Space:
     paired: np.ndarray
 
 
-def passages(words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def passages(ids: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of a text and the block of BLOCK words that each stands in."""
-    ids = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
-    at = np.flatnonzero(ids >= 0)
-    return ids[at], at // BLOCK
+    own = feature[ids]
+    at = np.flatnonzero(own >= 0)
+    return own[at], at // BLOCK
 
 
 def neighbours(ids: np.ndarray, features: int) -> np.ndarray:
@@ -139,56 +170,65 @@ def folded(ids: np.ndarray, blocks: np.ndarray, total: int, vectors: np.ndarray)
     return out
 
 
-def _range_step(ids: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) for the passages whose features are ``ids``, as idf-weighted rows of length 1."""
-    out = np.zeros_like(basis)
-    for own in ids:
-        if not len(own):
-            continue
-        f, tf = np.unique(own, return_counts=True)
-        x = tf * idf[f]
-        x /= np.linalg.norm(x)
-        out[f] += np.outer(x, x @ basis[f])
-    return out
-
-
-def fit(docs: DataFrame, pieces: list[Piece]) -> Space | None:
-    """The latent space for ``pieces``; None where they have no usable word."""
-    vocabulary = frozenset(w for p in pieces for w in p.words)
-    n, df = document_frequency(docs, vocabulary)
-    usable = sorted(w for w in vocabulary if df.get(w, 0) <= max(1, MAX_SHARE * n))
+def _range_step(features: np.ndarray, passage: np.ndarray, idf: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'(A basis) to ``out`` for passages as idf-weighted rows of length 1. ``passage`` does not fall."""
+    if not len(features):
+        return
+    key, tf = np.unique(passage.astype(np.int64) * len(idf) + features, return_counts=True)
+    rows, f = np.divmod(key, len(idf))
+    begins = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    lo = 0
+    while lo < len(begins):
+        hi = max(lo + 1, int(np.searchsorted(begins, begins[lo] + CHUNK)))
+        part = slice(begins[lo], begins[hi] if hi < len(begins) else len(key))
+        first = begins[lo:hi] - begins[lo]
+        own = f[part]
+        sizes = np.diff(np.append(first, len(own)))
+        x = (tf[part] * idf[own]).astype(np.float32)
+        x /= np.repeat(np.sqrt(np.add.reduceat(x * x, first)), sizes)
+        rows_ = x[:, None] * basis[own]
+        y = np.repeat(np.add.reduceat(rows_, first, axis=0), sizes, axis=0)
+        y *= x[:, None]
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+        out[own[order][cuts]] += np.add.reduceat(y[order], cuts, axis=0)
+        lo = hi
+
+
+def fit(coded: DataFrame, pieces: list[Piece], numbers: dict[str, int]) -> Space | None:
+    """The latent space for ``pieces`` over all passages of ``encoded`` documents; None where they have no usable word."""
+    n, df = document_frequency(coded, len(numbers))
+    most = max(1, MAX_SHARE * n)
+    words = [[numbers[w] for w in p.words] for p in pieces]
+    usable = set(np.flatnonzero(df <= most).tolist())
     # pieces made of frequent words alone are searched by them
-    for p in pieces:
-        if not any(df.get(w, 0) <= max(1, MAX_SHARE * n) for w in p.words):
-            usable = sorted({*usable, *p.words})
+    for own in words:
+        if not any(df[w] <= most for w in own):
+            usable.update(own)
     if not usable:
         return None
-    index = {w: k for k, w in enumerate(usable)}
-    idf = np.array([math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in usable], np.float32)
-    own = [np.array([index[w] for w in p.words if w in index], np.int32) for p in pieces]
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for text in batch.column("text").to_pylist():
-                ids, blocks = passages(plain_words(text), index)
-                whole = blocks // 2
-                out += [part.tolist() for part in np.split(ids, np.flatnonzero(np.diff(whole)) + 1) if len(part)]
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["ids"])
-
-        return step
-
-    # only identifiers are ranked; the texts of the few chosen ones are read after
-    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
-    sample = cut(map_rows(texts, make, "ids array<int>").coalesce(SAMPLE_TASKS))
-
-    width = min(RANK + EXTRA, len(usable))
-    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(len(usable), width)))[0].astype(np.float32)
+    kept = np.array(sorted(usable))
+    feature = np.full(len(numbers) + 1, -1, np.int32)
+    feature[kept] = np.arange(len(kept))
+    idf = (np.log((n + 1) / (df[kept] + 1)) + 1).astype(np.float32)
+    own = [f[f >= 0] for f in (feature[w] for w in words)]
+
+    width = min(RANK + EXTRA, len(kept))
+    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(len(kept), width)))[0].astype(np.float32)
+    passage = np.repeat(np.arange(len(own)), [len(x) for x in own])
     for _ in range(POWERS):
-        total = np.float32(PIECE_WEIGHT) * _range_step(own, idf, basis)
-        for r in sample.mapInArrow(_summed(idf, basis), "z binary").collect():
-            total += np.frombuffer(r[0], np.float32).reshape(total.shape)
+        total = np.zeros(basis.shape)
+        _range_step(np.concatenate(own), passage, idf, basis, total)
+        total *= PIECE_WEIGHT
+        sums = coded.select("ids").mapInArrow(_summed(feature, idf, basis), "z binary")
+        tasks = sums.rdd.getNumPartitions()
+        while tasks > FAN_IN:
+            tasks = -(-tasks // FAN_IN)
+            sums = sums.repartition(tasks).mapInArrow(_added, "z binary")
+        whole = np.zeros(total.shape, np.int64)
+        for r in sums.collect():
+            whole += np.frombuffer(r[0], "<i8").reshape(total.shape)
+        total += whole / (1 << SUMMED) * min(1.0, WEIGHED_DOCS / max(1, n))
         q, r = np.linalg.qr(total)
         basis = q.astype(np.float32)
     # total = (A'A) times the former range, so its triangle orders the directions by strength
@@ -197,29 +237,49 @@ def fit(docs: DataFrame, pieces: list[Piece]) -> Space | None:
     vectors = idf[:, None] * basis
     queries = np.stack([vectors[k].sum(0) for k in own])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
-    codes = [np.unique(neighbours(k, len(usable))) for k in own]
+    codes = [np.unique(neighbours(k, len(kept))) for k in own]
     pairs, paired = np.concatenate(codes), np.repeat(np.arange(len(own)), [len(c) for c in codes])
     order = np.argsort(pairs, kind="stable")
-    return Space(index, vectors, pieces, queries, pairs[order], paired[order])
+    answers = [[numbers[w] for w in p.answer] for p in pieces]
+    return Space(feature, words, answers, vectors, pieces, queries, pairs[order], paired[order])
 
 
-def _summed(idf: np.ndarray, basis: np.ndarray):
+def _summed(feature: np.ndarray, idf: np.ndarray, basis: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(basis)
+        total = np.zeros(basis.shape)
         for batch in batches:
-            total += _range_step([np.array(x, np.int32) for x in batch.column("ids").to_pylist()], idf, basis)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["z"])
+            for i in range(0, batch.num_rows, SLICE):
+                parts = [passages(ids, feature) for ids in _arrays(batch.slice(i, SLICE))]
+                # two blocks are a passage here
+                ends = np.cumsum([len(own) and int(at[-1]) // 2 + 1 for own, at in parts])
+                places = [at // 2 + (e - int(at[-1]) // 2 - 1) for (own, at), e in zip(parts, ends, strict=True) if len(own)]
+                if places:
+                    _range_step(np.concatenate([own for own, _ in parts if len(own)]), np.concatenate(places), idf, basis, total)
+        yield _sum_batch(np.rint(total * (1 << SUMMED)).astype("<i8"))
 
     return run
 
 
+def _sum_batch(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["z"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for data in batch.column("z"):
+            own = np.frombuffer(data.as_py(), "<i8")
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield _sum_batch(total)
+
+
 Found = tuple[int, int, float, float, bool]
 
 
-def search(ids: list[int], texts: list[str | None], space: Space) -> list[Found]:
-    """(doc_id, item_id, cosine, covered, answered) of the pieces found, the best for each pair."""
-    split = [plain_words(t) for t in texts]
-    parts = [passages(w, space.index) for w in split]
+def search(ids: list[int], split: list[np.ndarray], space: Space) -> list[Found]:
+    """(doc_id, item_id, cosine, covered, answered) of the pieces found in the numbered words ``split``, the best for each pair."""
+    parts = [passages(w, space.feature) for w in split]
     sizes = np.array([-(-len(w) // BLOCK) for w in split])
     starts = np.concatenate(([0], np.cumsum(sizes)))
     all_ids = np.concatenate([p[0] for p in parts])
@@ -234,7 +294,7 @@ def search(ids: list[int], texts: list[str | None], space: Space) -> list[Found]
         windows[same] += blocks[same + k]
     windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
     # passages and pieces that have neighbouring features in common
-    codes = neighbours(all_ids, len(space.index))
+    codes = neighbours(all_ids, len(space.vectors))
     first = np.searchsorted(space.pairs, codes)
     lengths = np.searchsorted(space.pairs, codes, "right") - first
     lengths[owner[all_blocks[1:]] != owner[all_blocks[:-1]]] = 0
@@ -247,7 +307,7 @@ def search(ids: list[int], texts: list[str | None], space: Space) -> list[Found]
     order = np.argsort(shared_at, kind="stable")
     shared_at, shared_piece = shared_at[order], shared_piece[order]
     best: dict[tuple[int, int], tuple] = {}
-    masks: dict[int, dict[str, int]] = {}
+    masks: dict[int, dict[int, int]] = {}
     last, words, distinct = -1, [], set()
     for lo in range(0, len(windows), 8192):
         cosines = windows[lo : lo + 8192] @ space.queries.T
@@ -260,10 +320,10 @@ def search(ids: list[int], texts: list[str | None], space: Space) -> list[Found]
             place = (block - int(starts[doc])) * BLOCK
             piece = space.pieces[k]
             if (own := masks.get(int(k))) is None:
-                own = masks[int(k)] = piece.masks()
+                own = masks[int(k)] = word_masks(space.words[k])
             if block != last:
                 last = block
-                words = split[doc][max(0, place - BLOCK // 2) : place + BLOCKS * BLOCK + BLOCK // 2]
+                words = split[doc][max(0, place - BLOCK // 2) : place + BLOCKS * BLOCK + BLOCK // 2].tolist()
                 distinct = set(words)
             # words that are not there at all already rule out most candidates
             shared = own.keys() & distinct
@@ -273,9 +333,10 @@ def search(ids: list[int], texts: list[str | None], space: Space) -> list[Found]
             covered = lcs(own, len(piece.words), words) / len(piece.words)
             if covered < ANSWERED:
                 continue
-            near = split[doc][max(0, place - PIECE) : place + BLOCKS * BLOCK + 2 * PIECE]
-            n = len(piece.answer)
-            answered = any(tuple(near[i : i + n]) == piece.answer for i in range(len(near) - n + 1))
+            near = split[doc][max(0, place - PIECE) : place + BLOCKS * BLOCK + 2 * PIECE].tolist()
+            answer = space.answers[k]
+            n = len(answer)
+            answered = any(near[i : i + n] == answer for i in range(len(near) - n + 1))
             if covered >= PLAIN or answered:
                 key, value = (doc, piece.item_id), (covered, answered, float(cosines[at, k]))
                 best[key] = max(best.get(key, value), value)
@@ -299,20 +360,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def searched(block: list[tuple[int, str | None]]) -> DataFrame | None:
         pieces = pieces_of(block)
-        space = fit(rows, pieces) if pieces else None
+        if not pieces:
+            return None
+        numbers = {w: k for k, w in enumerate(sorted({w for p in pieces for w in (*p.words, *p.answer)}))}
+        coded = encoded(rows, numbers)
+        space = fit(coded, pieces, numbers)
         if space is None:
             return None
 
         def make():
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                found = search(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), space)
+                found = search(batch.column("doc_id").to_pylist(), _arrays(batch), space)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
                 names = ["doc_id", "item_id", "cosine", "covered", "answered"]
                 return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names)
 
             return step
 
-        return map_rows(rows, make, schema)
+        return map_rows(coded, make, schema)
 
     block: list[tuple[int, str | None]] = []
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hostile import documents, empty
 
 from lattica.llm.decontamination import find_leaks, lcs, pieces_of
@@ -90,3 +91,25 @@ def test_hostile_tables(spark):
     assert (4, 3) in got and (5, 3) in got and all(d not in (0, 1, 2, 8) for d, _ in got)
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(documents(spark), none).count() == 0 and find_leaks(empty(spark), bench).count() == 0
+
+
+def test_the_space_is_that_of_all_passages(spark):
+    """The products of the fit, against one dense matrix of every passage of 4000 documents."""
+    from lattica.llm import decontamination as D
+
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) if rng.random() < 0.1 else f"z{rng.randrange(9)}" for _ in range(70)) for _ in range(4000)]
+    numbers = {w: k for k, w in enumerate(sorted(vocabulary))}
+    coded = D.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), numbers)
+    n, df = D.document_frequency(coded, len(numbers))
+    assert n == 4000 and df.tolist() == [sum(w in t.split() for t in texts) for w in sorted(vocabulary)]
+    idf, basis = np.linspace(1, 2, 60).astype(np.float32), np.random.default_rng(1).normal(size=(60, 5)).astype(np.float32)
+    a = np.zeros((4000 * 3, 60))
+    for d, t in enumerate(texts):
+        for k, w in enumerate(t.split()):
+            if w in numbers:
+                a[d * 3 + k // 32, numbers[w]] += idf[numbers[w]]
+    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+    got = sum(np.frombuffer(r[0], "<i8").reshape(60, 5) for r in coded.select("ids").mapInArrow(D._summed(np.append(np.arange(60), -1), idf, basis), "z binary").collect())
+    assert np.allclose(got / (1 << D.SUMMED), a.T @ (a @ basis), rtol=1e-4, atol=1e-2)
