@@ -13,9 +13,11 @@ Shards are chosen so that linked fingerprints meet in at least one of them.
   over SHARD_LIMIT are dealt again: their other bits differ in at most R places
   too, so those are cut into R + 1 blocks in turn, LEVELS times in all.
 * ``near_duplicates``: copies that share four fifths of their shingles may
-  differ in many more bits than blocks can bear, and copies with a line
-  repeated in any number of them. Shards are the smallest hashes of the shingle
-  sets, or pairs of them, and the sets decide without fingerprints.
+  differ in many more bits than blocks can bear, so shards are the smallest
+  hashes of the shingle sets, or pairs of them. In each shard a tree over the
+  fingerprints of the sets, repeats left out, finds what is within TREE_RADIUS
+  bits and the sets confirm it; an index of the members then adds the links of
+  sets whose fingerprints are farther apart.
 
 Inside a shard, links are gathered by union-find and leave it as one edge for
 each fingerprint, never as all pairs.
@@ -41,6 +43,8 @@ LEVELS = 4
 #: Least hashes of a shingle set, which deal a text to shards, and members that all blocks of a crowded shard have.
 LEAST = 8
 PIVOTS = 16
+#: Bits that the trees over sets search within.
+TREE_RADIUS = 14
 #: Sets that are compared in pairs, without an index, and places of an index read at a time.
 FEW, INDEXED = 6, 1 << 20
 
@@ -320,16 +324,17 @@ def _compared(docs: DataFrame, slots: DataFrame, width: int, similarity: float)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             ids, shard_lists = batch.column("doc_id").to_pylist(), batch.column("shards").to_pylist()
             for doc, own, text in zip(ids, shard_lists, batch.column("text").to_pylist(), strict=True):
-                data = np.unique(shingle_hashes(text or "", width).astype(np.uint32)).tobytes()
+                hashes = np.unique(shingle_hashes(text or "", width))
+                fp, data = signed(fingerprint(hashes)), np.unique(hashes.astype(np.uint32)).tobytes()
                 for shard in own:
                     for slot in shard["slots"]:
-                        for column, value in zip(out, (shard["key"], slot, doc, data), strict=True):
+                        for column, value in zip(out, (shard["key"], slot, doc, fp, data), strict=True):
                             column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "slot", "doc_id", "members"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "slot", "doc_id", "fp", "members"])
 
         return step
 
@@ -337,17 +342,19 @@ def _compared(docs: DataFrame, slots: DataFrame, width: int, similarity: float)
         for table in groups(batches, ["key", "slot"]):
             places: dict[bytes, int] = {}
             ids: list[int] = []
+            prints: list[int] = []
             a: list[int] = []
             b: list[int] = []
             for part in table.to_batches(max_chunksize=256):
-                for doc, data in zip(part.column("doc_id").to_pylist(), part.column("members").to_pylist(), strict=True):
+                for doc, fp, data in zip(*(part.column(c).to_pylist() for c in ("doc_id", "fp", "members")), strict=True):
                     # equal sets are one node
                     if (k := places.setdefault(data, len(ids))) < len(ids):
                         a.append(ids[k])
                         b.append(doc)
                     else:
                         ids.append(doc)
-            for k, r in enumerate(local_roots([np.frombuffer(x, np.uint32) for x in places], similarity)):
+                        prints.append(fp & 0xFFFFFFFFFFFFFFFF)
+            for k, r in enumerate(local_roots([np.frombuffer(x, np.uint32) for x in places], prints, similarity)):
                 if r != k:
                     a.append(ids[r])
                     b.append(ids[k])
@@ -355,7 +362,7 @@ def _compared(docs: DataFrame, slots: DataFrame, width: int, similarity: float)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     by_doc = slots.groupBy("doc_id").agg(F.collect_list(F.struct("key", "slots")).alias("shards"))
-    members = map_rows(docs.join(by_doc, "doc_id").select("doc_id", "shards", "text"), make, "key long, slot long, doc_id long, members binary")
+    members = map_rows(docs.join(by_doc, "doc_id").select("doc_id", "shards", "text"), make, "key long, slot long, doc_id long, fp long, members binary")
     dealt = members.repartition("key", "slot").sortWithinPartitions("key", "slot", "doc_id")
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -398,17 +405,23 @@ def near_links(docs: DataFrame, width: int, similarity: float, limit: int) -> Da
     return links.unionAll(written(more, "links"))
 
 
-def local_roots(sets: list[np.ndarray], similarity: float) -> list[int]:
+def local_roots(sets: list[np.ndarray], prints: list[int], similarity: float) -> list[int]:
     """For each of the sorted sets, the first one that alike sets connect it to.
 
-    Sets are compared with all others by an index of their members, until those
-    that were not are all in one component, to which they can't add a link.
+    A tree over their fingerprints ``prints`` gives candidates, which the sets
+    confirm. For alike sets whose fingerprints are farther apart, sets are then
+    compared with all others by an index of their members, until those that
+    were not are all in one component, to which they can't add a link.
     """
     n = len(sets)
+    tree, unions = BKTree(), Unions()
+    for k in range(n):
+        unions.add()
+        for j in tree.add(prints[k], TREE_RADIUS):
+            if unions.root(j) != unions.root(k) and alike(sets[j], sets[k], similarity):
+                unions.join(j, k)
     if n <= FEW:
-        unions = Unions()
         for k in range(n):
-            unions.add()
             for j in range(k):
                 if unions.root(j) != unions.root(k) and alike(sets[j], sets[k], similarity):
                     unions.join(j, k)
@@ -419,7 +432,7 @@ def local_roots(sets: list[np.ndarray], similarity: float) -> list[int]:
     holders = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(codes, kind="stable")]
     held = np.bincount(codes)
     begins = np.cumsum(held) - held
-    roots = np.arange(n)
+    roots = np.array([unions.root(k) for k in range(n)])
     waiting = np.ones(n, bool)
     while True:
         left = np.flatnonzero(waiting)

@@ -121,3 +121,26 @@ def test_hostile_documents(spark):
     groups = {r[0]: r[1] for r in near_duplicates(docs).collect()}
     assert groups[5] == 4 and groups[2] == 0
     assert simhash_components(empty(spark)).count() == 0 and near_duplicates(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 60])
+def test_shards_of_sets_are_searched_by_their_fingerprints(monkeypatch, n):
+    from lattica.llm import simhash as S
+
+    added, hits = [], []
+
+    class Watched(BKTree):
+        def add(self, value, radius):
+            found = super().add(value, radius)
+            added.append(value)
+            hits.extend(found)
+            return found
+
+    monkeypatch.setattr(S, "BKTree", Watched)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    hashes = [np.unique(np.where(rng.random(200) < 0.02 * (k % 7), rng.integers(0, 1 << 63, 200, dtype=np.uint64), base)) for k in range(n)]
+    sets, prints = [np.unique(h.astype(np.uint32)) for h in hashes], [S.fingerprint(h) for h in hashes]
+    got = dict(enumerate(S.local_roots(sets, prints, 0.8)))
+    want = components(range(n), [(i, j) for j in range(n) for i in range(j) if S.alike(sets[i], sets[j], 0.8)])
+    assert got == {k: want[k] for k in range(n)} and added == prints and hits
