@@ -39,7 +39,7 @@ RANK, EXTRA, POWERS = 128, 16, 2
 #: Weight of the pieces among the passages of WEIGHED_DOCS documents, so that the space tells them apart in corpora of any size.
 PIECE_WEIGHT, WEIGHED_DOCS = 20.0, 3000
 #: Binary places of summed products, sums added by one task, and features of passages multiplied at a time.
-SUMMED, FAN_IN, CHUNK = 24, 16, 1 << 14
+SUMMED, FAN_IN, CHUNK = 24, 8, 1 << 14
 MAX_SHARE = 0.1
 MIN_COSINE = 0.35
 PLAIN, ANSWERED = 0.7, 0.5
@@ -222,7 +222,8 @@ def fit(coded: DataFrame, pieces: list[Piece], numbers: dict[str, int]) -> Space
         total *= PIECE_WEIGHT
         sums = coded.select("ids").mapInArrow(_summed(feature, idf, basis), "z binary")
         tasks = sums.rdd.getNumPartitions()
-        while tasks > FAN_IN:
+        # one sum reaches the driver: features x RANK numbers take megabytes, and collecting holds several copies of each row
+        while tasks > 1:
             tasks = -(-tasks // FAN_IN)
             sums = sums.repartition(tasks).mapInArrow(_added, "z binary")
         whole = np.zeros(total.shape, np.int64)
