@@ -44,6 +44,8 @@ MAX_SHARE = 0.1
 MIN_COSINE = 0.35
 PLAIN, ANSWERED = 0.7, 0.5
 ANSWER_WORDS = 4
+#: Cells of a table of passages by words that is held at a time, and candidates tested by it at a time.
+HELD, TESTED = 1 << 25, 1 << 15
 #: Items searched in one pass, which bounds what is sent to the tasks.
 BLOCK_ITEMS = 2000
 
@@ -135,7 +137,8 @@ class Space:
 
     ``feature`` has the feature of each word, -1 for none, and -1 at its end for
     words that no piece has; ``words`` and ``answers`` are those of the pieces
-    in numbers. ``pairs`` are the sorted codes of neighbouring features of the
+    in numbers. ``padded`` has the words as rows of PIECE, filled up with the
+    number that no word has, and ``lengths`` how many they are. ``pairs`` are the sorted codes of neighbouring features of the
     pieces, ``paired`` the piece of each.
     """
 
@@ -147,6 +150,8 @@ class Space:
     queries: np.ndarray
     pairs: np.ndarray
     paired: np.ndarray
+    padded: np.ndarray
+    lengths: np.ndarray
 
 
 def passages(ids: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +247,8 @@ def fit(coded: DataFrame, pieces: list[Piece], numbers: dict[str, int]) -> Space
     pairs, paired = np.concatenate(codes), np.repeat(np.arange(len(own)), [len(c) for c in codes])
     order = np.argsort(pairs, kind="stable")
     answers = [[numbers[w] for w in p.answer] for p in pieces]
-    return Space(feature, words, answers, vectors, pieces, queries, pairs[order], paired[order])
+    padded = np.array([k + [len(numbers)] * (PIECE - len(k)) for k in words])
+    return Space(feature, words, answers, vectors, pieces, queries, pairs[order], paired[order], padded, np.array([len(k) for k in words]))
 
 
 def _summed(feature: np.ndarray, idf: np.ndarray, basis: np.ndarray):
@@ -278,6 +284,20 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 Found = tuple[int, int, float, float, bool]
 
 
+def _covered(places: np.ndarray, present: np.ndarray, numbers: int, space: Space) -> Iterator[tuple[int, int]]:
+    """(passage, piece) of the candidates that have ANSWERED of the piece's words within reach, in any order.
+
+    ``places`` are the candidates' in a table of passages by pieces, ``present``
+    whether a passage has a word, ``numbers`` for each. This rules out most of
+    them, and only those that the subsequence would rule out too.
+    """
+    for i in range(0, len(places), TESTED):
+        at, k = np.divmod(places[i : i + TESTED], len(space.pieces))
+        have = present[at[:, None] * numbers + space.padded[k]].sum(1)
+        passed = np.flatnonzero(have >= ANSWERED * space.lengths[k])
+        yield from zip(at[passed].tolist(), k[passed].tolist(), strict=True)
+
+
 def search(ids: list[int], split: list[np.ndarray], space: Space) -> list[Found]:
     """(doc_id, item_id, cosine, covered, answered) of the pieces found in the numbered words ``split``, the best for each pair."""
     parts = [passages(w, space.feature) for w in split]
@@ -307,30 +327,41 @@ def search(ids: list[int], split: list[np.ndarray], space: Space) -> list[Found]
     shared_at, shared_piece = shared_at[same], shared_piece[same]
     order = np.argsort(shared_at, kind="stable")
     shared_at, shared_piece = shared_at[order], shared_piece[order]
+    # the words within reach of each passage, BLOCK // 2 more on both sides
+    numbers = len(space.feature)
+    lengths = np.array([len(w) for w in split])
+    text = np.concatenate(split)
+    of = np.repeat(np.arange(len(split)), lengths)
+    last_block = (np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + BLOCK // 2) // BLOCK
+    known = np.flatnonzero(text >= 0)
+    text, of, last_block = text[known], of[known], last_block[known]
+    reach = []
+    for k in range(BLOCKS + 1):
+        within = np.flatnonzero((last_block >= k) & (last_block - k < sizes[of]))
+        reach.append((starts[of[within]] + last_block[within] - k, text[within]))
+    rows = max(1, min(8192, HELD // numbers))
     best: dict[tuple[int, int], tuple] = {}
     masks: dict[int, dict[int, int]] = {}
-    last, words, distinct = -1, [], set()
-    for lo in range(0, len(windows), 8192):
-        cosines = windows[lo : lo + 8192] @ space.queries.T
+    last, words = -1, []
+    for lo in range(0, len(windows), rows):
+        cosines = windows[lo : lo + rows] @ space.queries.T
         near_enough = cosines >= MIN_COSINE
-        part = slice(*np.searchsorted(shared_at, (lo, lo + 8192)))
+        part = slice(*np.searchsorted(shared_at, (lo, lo + rows)))
         near_enough[shared_at[part] - lo, shared_piece[part]] = True
-        for at, k in zip(*np.nonzero(near_enough), strict=True):
-            block = lo + int(at)
+        present = np.zeros(len(cosines) * numbers, bool)
+        for at, word in reach:
+            own = slice(*np.searchsorted(at, (lo, lo + rows)))
+            present[(at[own] - lo) * numbers + word[own]] = True
+        for at, k in _covered(np.flatnonzero(near_enough), present, numbers, space):
+            block = lo + at
             doc = int(owner[block])
             place = (block - int(starts[doc])) * BLOCK
             piece = space.pieces[k]
-            if (own := masks.get(int(k))) is None:
-                own = masks[int(k)] = word_masks(space.words[k])
+            if (own := masks.get(k)) is None:
+                own = masks[k] = word_masks(space.words[k])
             if block != last:
                 last = block
                 words = split[doc][max(0, place - BLOCK // 2) : place + BLOCKS * BLOCK + BLOCK // 2].tolist()
-                distinct = set(words)
-            # words that are not there at all already rule out most candidates
-            shared = own.keys() & distinct
-            least = ANSWERED * len(piece.words)
-            if len(shared) + len(piece.words) - len(own) < least or sum(own[w].bit_count() for w in shared) < least:
-                continue
             covered = lcs(own, len(piece.words), words) / len(piece.words)
             if covered < ANSWERED:
                 continue
